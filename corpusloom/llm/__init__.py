@@ -1,0 +1 @@
+"""Operators for training data; nothing outside this package imports it."""
