@@ -52,7 +52,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
