@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import near_duplicates
+from pyspark.sql import functions as F
+
+from corpusloom.llm import near_duplicates, split_overlap
 from corpusloom.session import table
 
 
+def _overlaps(spark, d):
+    return split_overlap.cross_split_overlaps(table(spark, d, "processed"), "rec_id", "text_input", "split")
+
+
+def p2_found(spark, d):
+    pairs = _overlaps(spark, d)
+    return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+
+
+def p2_counts(spark, d):
+    return split_overlap.overlap_counts(_overlaps(spark, d), table(spark, d, "processed"), "rec_id", "split", "source")
+
+
 def p6_found(spark, d):
     return near_duplicates.near_duplicate_pairs(table(spark, d, "combined_data"), "rec_id", "text_input")
 
@@ -14,5 +29,5 @@ def p6_groups(spark, d):
     return near_duplicates.near_duplicate_groups(table(spark, d, "combined_data"), "rec_id", "text_input")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_groups)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p6_found, p6_groups)}
 SQL: dict[str, str] = {}
