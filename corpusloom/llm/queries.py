@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import near_duplicates, split_overlap
+from corpusloom.llm import mixing, near_duplicates, repetition, split_overlap, splitting, tokenizing
 from corpusloom.session import table
 
 
@@ -21,6 +21,25 @@ def p2_counts(spark, d):
     return split_overlap.overlap_counts(_overlaps(spark, d), table(spark, d, "processed"), "rec_id", "split", "source")
 
 
+def p3_found(spark, d):
+    return splitting.oversized(table(spark, d, "combined_data"), "rec_id", "text_input")
+
+
+def p3_pieces(spark, d):
+    return splitting.split_oversized(table(spark, d, "combined_data"), "rec_id", "text_input")
+
+
+def p5_found(spark, d):
+    """Outliers by the robust distance, then the exact share."""
+    found = repetition.outliers(table(spark, d, "combined_data"), "rec_id", "text_input")
+    return found.where("outlier and share > 0.06").select(F.col("id").alias("rec_id"))
+
+
+def p5_shares(spark, d):
+    found = repetition.outliers(table(spark, d, "combined_data"), "rec_id", "text_input")
+    return found.withColumnRenamed("id", "rec_id")
+
+
 def p6_found(spark, d):
     return near_duplicates.near_duplicate_pairs(table(spark, d, "combined_data"), "rec_id", "text_input")
 
@@ -29,5 +48,17 @@ def p6_groups(spark, d):
     return near_duplicates.near_duplicate_groups(table(spark, d, "combined_data"), "rec_id", "text_input")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p6_found, p6_groups)}
+def p7_ids(spark, d):
+    return tokenizing.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_mix(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "text", "source")[0]
+
+
+def p8_shares(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "text", "source")[1]
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p5_found, p5_shares, p6_found, p6_groups, p7_ids, p8_mix, p8_shares)}
 SQL: dict[str, str] = {}
