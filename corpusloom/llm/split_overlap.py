@@ -27,7 +27,7 @@ MIN_WORDS = 40
 WINDOW = 5
 SORT_WORDS = 8
 #: Words of one evaluation shard; a shard in use takes about 40 bytes a word.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 3_000_000
 #: Training words held at once by a task.
 HOLD_WORDS = 6_000_000
 
@@ -85,6 +85,26 @@ def symbols(x: dict, h: np.ndarray) -> np.ndarray:
     return np.where(x["vocab"][at] == h, at + 1, 0).astype(np.uint64)
 
 
+class Prepared:
+    """Training texts: their words by number, and the first place of each distinct window, text by text."""
+
+    def __init__(self, h: np.ndarray, lens: np.ndarray, cls: np.ndarray):
+        self.kinds, self.word = np.unique(h, return_inverse=True)
+        self.cls = cls
+        seq, doc = sequences(h, lens, WINDOW)
+        starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
+        at = np.arange(len(h)) - np.repeat(starts, lens)
+        place = np.flatnonzero(at < np.repeat(lens - WINDOW + 1, lens))
+        self.every, self.every_bound = (seq >> np.uint64(32)).astype(np.uint32), np.searchsorted(doc, np.arange(len(lens) + 1))
+        order = np.lexsort((seq, doc))  # stable: the first of equal windows comes first
+        s, d = seq[order], doc[order]
+        keep = np.ones(len(s), bool)
+        keep[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+        self.window, self.place = (s[keep] >> np.uint64(32)).astype(np.uint32), place[order][keep]
+        self.n = np.bincount(d[keep], minlength=len(lens))
+        self.bound = np.concatenate(([0], np.cumsum(self.n)))
+
+
 def backward(x: dict, sym: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Intervals of the windows that begin at ``start``; (0, 0) where the shard has none."""
     lo, hi = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
@@ -118,34 +138,24 @@ def spans(hit: np.ndarray) -> tuple[int, int]:
     return merged, int((np.cumsum(cover) > 0).sum())
 
 
-def stream(x: dict, h: np.ndarray, lens: np.ndarray, cls: np.ndarray, threshold: float):
+def stream(x: dict, t: Prepared, threshold: float):
     """Partners (training class, evaluation class, likeness, spans, words) of training texts in one shard."""
-    sym = symbols(x, h)
-    seq, doc = sequences(h, lens, WINDOW)
-    starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    at = np.arange(len(h)) - np.repeat(starts, lens)
-    begin = np.flatnonzero(at < np.repeat(lens - WINDOW + 1, lens))
-    lo, hi = backward(x, sym, begin)
-    bound = np.searchsorted(doc, np.arange(len(lens) + 1))
+    need = np.ceil(threshold * t.n - 1e-9).astype(np.int64)
+    fits = (t.n >= threshold * x["sizes"].min() - 1e-9) & (t.n * threshold <= x["sizes"].max() + 1e-9)
+    rows = np.flatnonzero(np.repeat(fits, t.n))
+    lo, hi = np.zeros(len(t.place), np.int64), np.zeros(len(t.place), np.int64)
+    lo[rows], hi[rows] = backward(x, symbols(x, t.kinds)[t.word], t.place[rows])
     found = np.concatenate(([0], np.cumsum(hi > lo)))
-    share = (found[bound[1:]] - found[bound[:-1]]) / np.maximum(1, bound[1:] - bound[:-1])
+    covered = found[t.bound[1:]] - found[t.bound[:-1]]
     out = []
-    # repeated windows count once below, so a text of few found windows is excluded by its distinct ones
-    for d in np.flatnonzero(share > 0):
-        s = slice(bound[d], bound[d + 1])
-        if share[d] < threshold / 4:
-            if not _enough(seq[s], hi[s] > lo[s], threshold):
-                continue
-        w, first = np.unique(seq[s], return_index=True)
-        a, n = lo[s][first], (hi[s] - lo[s])[first]
-        need = math.ceil(threshold * len(w) - 1e-9)
-        if (n > 0).sum() < need:
-            continue
-        order = np.argsort(n, kind="stable")[: len(w) - need + 1]  # any partner has at least one of these
+    for d in np.flatnonzero(fits & (covered >= need) & (need > 0)):
+        s = slice(t.bound[d], t.bound[d + 1])
+        a, n = lo[s], hi[s] - lo[s]
+        order = np.argsort(n, kind="stable")[: t.n[d] - need[d] + 1]  # any partner has at least one of these
         order = order[n[order] > 0]
-        rows = np.concatenate([np.arange(a[k], a[k] + n[k]) for k in order]) if len(order) else np.empty(0, np.int64)
-        mine = np.unique((w >> np.uint64(32)).astype(np.uint32))
-        for e in np.unique(x["doc"][rows]):
+        hits = np.unique(x["doc"][np.concatenate([np.arange(a[k], a[k] + n[k]) for k in order])]) if len(order) else ()
+        mine = np.unique(t.window[s])
+        for e in hits:
             size = x["sizes"][e]
             if min(size, len(mine)) < threshold * max(size, len(mine)) - 1:
                 continue
@@ -153,15 +163,11 @@ def stream(x: dict, h: np.ndarray, lens: np.ndarray, cls: np.ndarray, threshold:
             both = len(np.intersect1d(mine, theirs, assume_unique=True))
             like = both / (len(mine) + len(theirs) - both)
             if like >= threshold:
-                n_spans, n_words = spans(np.isin((seq[s] >> np.uint64(32)).astype(np.uint32), theirs))
-                out.append((int(cls[d]), int(x["cls"][e]), like, n_spans, n_words))
+                hit = np.isin(t.every[t.every_bound[d] : t.every_bound[d + 1]], theirs)
+                out.append((int(t.cls[d]), int(x["cls"][e]), like, *spans(hit)))
     return out
 
 
-def _enough(seq: np.ndarray, found: np.ndarray, threshold: float) -> bool:
-    return len(np.unique(seq[found])) >= threshold * len(np.unique(seq)) - 1e-9
-
-
 def _shard(batches):
     """Index of the partition's texts, each class once; one row."""
     cache, seen, hs, ls, cs = WordHashes(), set(), [], [], []
@@ -190,9 +196,9 @@ def _stream_all(shards: list[str], threshold: float):
         cache, seen = WordHashes(), set()
 
         def flush(hs, ls, cs):
-            h, lens, cls = np.concatenate(hs), np.concatenate(ls), np.concatenate(cs)
+            t = Prepared(np.concatenate(hs), np.concatenate(ls), np.concatenate(cs))
             for path in shards:
-                out = stream(unpack(_read_index(path)), h, lens, cls, threshold)
+                out = stream(unpack(_read_index(path)), t, threshold)
                 if out:
                     yield pd.DataFrame(out, columns=["a", "b", "likeness", "n_spans", "n_words"])
 
