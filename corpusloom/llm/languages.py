@@ -24,6 +24,8 @@ LANGS = ("nb", "nn", "en", "sv", "da", "de", "pl")
 #: Labelled documents from which the likelihoods are counted, chosen by hash.
 SAMPLE_DOCS = 4_000
 MIN_WORDS = 5
+#: A piece without a mark at its end counts as a full sentence from so many words on, else as a heading.
+UNMARKED_WORDS = 12
 #: A passage without marks is judged in windows of so many words.
 WINDOW_WORDS = 25
 #: Weight of a word's log-likelihood: words of a sentence are not independent.
@@ -194,7 +196,7 @@ def _judge(model: Model):
         for pdf in batches:
             if len(cache) > cache.limit:
                 cache, table = Scores(model), np.empty((0, len(LANGS)))
-            spans, words, counts, owner = [], [], [], []
+            spans, words, counts, owner, ended = [], [], [], [], []
             base = np.zeros((len(pdf), len(LANGS)))
             for k, (t, code, prior) in enumerate(zip(pdf["text"], pdf["code"], pdf["prior"])):
                 t = tidy(t)
@@ -211,6 +213,7 @@ def _judge(model: Model):
                         words.append(w)
                         counts.append(len(w))
                         owner.append(k)
+                        ended.append(t[a:b].rstrip("\"'»”) \u00a0\t")[-1:] in ".!?…:;")
             if not spans:
                 continue
             n = sum(counts)
@@ -230,12 +233,12 @@ def _judge(model: Model):
             whole -= whole.max(axis=1, keepdims=True)
             whole = np.exp(whole)
             whole /= whole.sum(axis=1, keepdims=True)
-            full = counts >= MIN_WORDS
-            ended = np.fromiter((pdf["text"].iat[k].rstrip()[-1:] != "" for k, _, _ in spans), bool, len(spans))
+            plain = np.fromiter((sum(not x.isdigit() for x in w) for w in words), np.int64, len(words))
+            full = (plain >= MIN_WORDS) & (np.array(ended) | (plain >= UNMARKED_WORDS))
             best = p.argmax(axis=1)
             yield pd.DataFrame({
                 "id": pdf["id"].to_numpy()[owner], "start": [s[1] for s in spans], "end": [s[2] for s in spans], "n_words": counts,
-                "lang": np.array(LANGS)[best], "confidence": p.max(axis=1), "margin": np.sort(like, axis=1)[:, -1] - np.sort(like, axis=1)[:, -2], "full": full & ended,
+                "lang": np.array(LANGS)[best], "confidence": p.max(axis=1), "margin": np.sort(like, axis=1)[:, -1] - np.sort(like, axis=1)[:, -2], "full": full,
                 "doc_lang": np.array(LANGS)[whole.argmax(axis=1)][owner], "doc_confidence": whole.max(axis=1)[owner], "code": pdf["code"].to_numpy()[owner],
             })
 

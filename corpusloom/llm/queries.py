@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, near_duplicates, repetition, split_overlap, splitting, tokenizing
+from corpusloom.llm import languages, mixing, near_duplicates, repetition, residue, split_overlap, splitting, tokenizing
 from corpusloom.session import table
 
 
@@ -29,6 +29,18 @@ def p3_pieces(spark, d):
     return splitting.split_oversized(table(spark, d, "combined_data"), "rec_id", "text_input")
 
 
+def p4_found(spark, d):
+    return residue.judge(table(spark, d, "combined_data"), "rec_id", "text_input").where("residue").select("rec_id")
+
+
+def p4_clean(spark, d):
+    return residue.without_residue(table(spark, d, "combined_data"), "rec_id", "text_input").drop("output")
+
+
+def p4_validation(spark, d):
+    return residue.validation(table(spark, d, "combined_data"), "rec_id", "text_input")
+
+
 def p5_found(spark, d):
     """Outliers by the robust distance, then the exact share."""
     found = repetition.outliers(table(spark, d, "combined_data"), "rec_id", "text_input")
@@ -60,5 +72,15 @@ def p8_shares(spark, d):
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "text", "source")[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p5_found, p5_shares, p6_found, p6_groups, p7_ids, p8_mix, p8_shares)}
+def p9_found(spark, d):
+    found = languages.unnamed_languages(table(spark, d, "documents"), "doc_id", "text", "lang", ["source", "genre"])
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def p9_passages(spark, d):
+    found = languages.passages(table(spark, d, "documents"), "doc_id", "text", "lang", ["source", "genre"])
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p4_found, p4_clean, p4_validation, p5_found, p5_shares, p6_found, p6_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_passages)}
 SQL: dict[str, str] = {}
