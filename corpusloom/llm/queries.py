@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import languages, mixing, near_duplicates, repetition, residue, split_overlap, splitting, tokenizing
+from corpusloom.llm import languages, mixing, near_duplicates, personal, repetition, residue, split_overlap, splitting, tokenizing
 from corpusloom.session import table
 
 
@@ -12,6 +12,23 @@ def _overlaps(spark, d):
     return split_overlap.cross_split_overlaps(table(spark, d, "processed"), "rec_id", "text_input", "split")
 
 
+def _personal(spark, d):
+    return personal.find_personal(table(spark, d, "combined_data"), table(spark, d, "name_pool"), "rec_id", "text_input", "output")
+
+
+def p1_found(spark, d):
+    return _personal(spark, d).withColumnRenamed("id", "rec_id")
+
+
+def p1_redacted(spark, d):
+    out = personal.redact(table(spark, d, "combined_data"), table(spark, d, "name_pool"), "rec_id", "text_input", "output")
+    return out.select(F.col("id").alias("rec_id"), F.col("text").alias("text_input"), F.to_json("output").alias("output"))
+
+
+def p1_counts(spark, d):
+    return _personal(spark, d).groupBy("field", "kind").agg(F.count("*").alias("n"), F.approx_count_distinct("span").alias("distinct_values"))
+
+
 def p2_found(spark, d):
     pairs = _overlaps(spark, d)
     return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
@@ -82,5 +99,5 @@ def p9_passages(spark, d):
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p4_found, p4_clean, p4_validation, p5_found, p5_shares, p6_found, p6_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_passages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_counts, p2_found, p2_counts, p3_found, p3_pieces, p4_found, p4_clean, p4_validation, p5_found, p5_shares, p6_found, p6_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_passages)}
 SQL: dict[str, str] = {}
