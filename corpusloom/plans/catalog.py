@@ -1,31 +1,6 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from corpusloom.session import table
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query(
-    """SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS first_id
-    FROM documents WHERE text IS NOT NULL GROUP BY md5(text)"""
-)
-def exact_dedup(spark, d):
-    t = table(spark, d, "documents").where("text is not null")
-    return t.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
+from corpusloom.plans import label_queries, score_queries, split_queries, stream_queries, text_queries  # noqa: F401 - they register
+from corpusloom.plans.registry import QUERIES, SQL  # noqa: F401
