@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -36,6 +37,14 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(target)
 
 
+def hash_sample(df: DataFrame, key: str, rows: int, total: int | None = None) -> DataFrame:
+    """About ``rows`` rows of ``df``, those whose hash of ``key`` is low; all if it has no more. Needs the number of rows, no sort."""
+    n = df.count() if total is None else total
+    if n <= rows:
+        return df
+    return df.where(F.xxhash64(F.lit(17), key) < F.lit(int(-(2**63) + 2**64 * rows / n)).cast("long"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one is set only where none is (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
