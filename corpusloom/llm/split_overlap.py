@@ -116,8 +116,11 @@ def backward(x: dict, sym: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, n
     a, b = x["first"][c], x["first"][c + 1]
     for k in range(WINDOW - 2, -1, -1):
         c = sym[start[live] + k] << np.uint64(32)
-        a = np.searchsorted(x["rank"], c | a.astype(np.uint64))
-        b = np.searchsorted(x["rank"], c | b.astype(np.uint64))
+        low = c | a.astype(np.uint64)
+        order = np.argsort(low)  # in order, neighbouring searches touch the same part of the index; the upper ends have the same order
+        live, low = live[order], low[order]
+        b = np.searchsorted(x["rank"], c[order] | b[order].astype(np.uint64))
+        a = np.searchsorted(x["rank"], low)
         ok = a < b
         live, a, b = live[ok], a[ok], b[ok]
     lo[live], hi[live] = a, b
