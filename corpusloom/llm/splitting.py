@@ -27,12 +27,19 @@ def boundaries(text: str) -> list[tuple[str, np.ndarray]]:
     return [(kind, np.fromiter((m.end() for m in p.finditer(text)), np.int64)) for kind, p in KINDS]
 
 
-def _between(text: str, at: int) -> int:
-    """``at``, or the place before it that separates neither a combining mark nor a joined or modified character."""
-    back = at
-    while back > at - 32 and back > 0 and (unicodedata.combining(text[back]) or text[back] in "‍️︎" or 0x1F3FB <= ord(text[back]) <= 0x1F3FF or text[back - 1] == "‍" or text[back - 1 : back + 1] == "\r\n"):
-        back -= 1
-    return back if back > at - 32 else at
+def _joined(text: str, at: int) -> bool:
+    """Whether the character at ``at`` belongs to the one before: a combining mark, a part of an emoji, a line feed after a return."""
+    c, b = text[at], text[at - 1]
+    return bool(unicodedata.combining(c)) or c in "\u200d\ufe0e\ufe0f" or "\U0001f3fb" <= c <= "\U0001f3ff" or b == "\u200d" or (b == "\r" and c == "\n")
+
+
+def _between(text: str, at: int, step: int = -1) -> int:
+    """``at``, or the nearest place in the direction of ``step`` that parts no joined characters; ``at`` if there is none near."""
+    for k in range(32):
+        x = at + step * k
+        if not 0 < x < len(text) or not _joined(text, x):
+            return x if 0 <= x <= len(text) else at
+    return at
 
 
 def _snap(text: str, found, target: float, length: float, low: int, high: int) -> tuple[int, str]:
@@ -51,7 +58,7 @@ def _start(text: str, words: np.ndarray, cut: int, overlap: int, least: int) ->
     if s == 0 or s >= cut or text[s - 1].isspace():
         return s
     k = int(np.searchsorted(words, s))
-    return int(words[k]) if k < len(words) and words[k] < cut else _between(text, s)
+    return int(words[k]) if k < len(words) and words[k] < cut else min(cut, _between(text, s, 1))
 
 
 def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
