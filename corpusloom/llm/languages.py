@@ -155,17 +155,15 @@ def train(rows: list[tuple[str, str]], rounds: int = 3) -> Model:
 
 
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, limit: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """At most ``limit`` labelled texts by the hash of their id, each language up to its equal part."""
-    t = df.select(F.col(text_col).alias("text"), label(F.col(lang_col)).alias("code"), F.xxhash64(id_col).alias("h")).where(F.length("text").between(100, 4_000))
-    out = []
+    """About ``limit`` labelled texts at most by the hash of their id, each language up to its equal part."""
+    t = df.select(F.col(text_col).alias("text"), label(F.col(lang_col)).alias("code"), F.xxhash64(F.lit(17), id_col).alias("h"))
     each = limit // len(LANGS)
-    parts = [t.where(F.col("code") == lang).orderBy("h").limit(each).select("text", "code") for lang in LANGS]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    for r in every.collect():  # bounded by ``limit``
-        out.append((r["text"], r["code"]))
-    return out
+    n = {r[0]: r[1] for r in t.where(F.col("code").isin(*LANGS)).groupBy("code").count().collect()}  # a row a language
+    low = F.lit(False)
+    for code, c in n.items():
+        low = low | ((F.col("code") == code) & (F.col("h") < F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * each / c))).cast("long")))
+    rows = t.where(low & F.length("text").between(100, 4_000)).orderBy("h", "text").collect()  # about ``limit`` at most
+    return [(r["text"], r["code"]) for r in rows]
 
 
 def host_priors(df: DataFrame, lang_col: str, host_cols: list[str]) -> DataFrame:
