@@ -15,9 +15,12 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import hash_sample
+
 TAGS = ("O", "PERSON", "PHONE", "EMAIL", "NATIONAL_ID", "ADDRESS")
 REACH = 2
 #: Rows of the labelled table, by the hash of their ids, and steps of the training.
@@ -379,14 +382,14 @@ def train(rows: list[tuple[list[str], np.ndarray]], steps: int = STEPS, l2: floa
 
 
 def labelled_table(df: DataFrame, id_col: str, text_col: str, output_col: str, names: DataFrame, rows: int = LABELLED_ROWS) -> list[tuple[list[str], np.ndarray]]:
-    """The labelled table: at most ``rows`` rows by the hash of their id, each tokenised and tagged; their bare spans follow as
+    """The labelled table: about ``rows`` rows by the hash of their id, each tokenised and tagged; their bare spans follow as
     texts of their own."""
     pool = names.where("name is not null").select(F.lower("name").alias("n"), "name_part").collect()  # a small fixed table
     first = NameForms(r["n"] for r in pool if r["name_part"] == "first")
     last = NameForms(r["n"] for r in pool if r["name_part"] == "last")
-    t = df.select(F.col(text_col).alias("text"), F.col(output_col).alias("output"), F.xxhash64(id_col).alias("h")).where(F.length("text").between(50, 6_000))
+    t = df.select(F.col(text_col).alias("text"), F.col(output_col).alias("output"), F.col(id_col).alias("id"))
     out = []
-    for r in t.orderBy("h").limit(rows).collect():  # bounded by ``rows``
+    for r in hash_sample(t, "id", rows).where(F.length("text").between(50, 6_000)).orderBy("id").collect():  # about ``rows`` at most
         spans = {k: [s for s in (v or []) if s] for k, v in (r["output"] or {}).items()}
         out.append(annotate(r["text"], spans, first, last))
         for v in spans.values():
@@ -573,7 +576,8 @@ def find_personal(df: DataFrame, names: DataFrame, id_col: str, text_col: str, o
                         fields.append("output")
                         kinds.append(kind)
                         values.append(value)
-            yield pd.DataFrame({"id": ids, "field": fields, "kind": kinds, "span": values})
+            if ids:
+                yield pd.DataFrame({"id": ids, "field": fields, "kind": kinds, "span": values})
 
     return _entries(df, id_col, text_col, output_col).mapInPandas(run, "id long, field string, kind string, span string")
 
@@ -601,25 +605,19 @@ def redact(df: DataFrame, names: DataFrame, id_col: str, text_col: str, output_c
 
     def run(batches):
         find = _find(crf, endings)
-        for pdf in batches:
-            of_text = find([t or "" for t in pdf["text"]])
-            texts, spans = [], []
-            bare = list(dict.fromkeys(s for entries in pdf["spans"] if entries is not None for e in entries if e["value"] is not None for s in e["value"] if s))
-            of_span = dict(zip(bare, find(bare)))
-            for t, found, entries in zip(pdf["text"], of_text, pdf["spans"]):
-                known = {x[3]: x[0] for x in found}
-                texts.append(_replace(t, found, known) if t else t)
-                if entries is None:
-                    spans.append(None)
-                    continue
-                rows_ = []
-                for e in entries:
-                    v = e["value"]
-                    if v is not None:
-                        v = [s if not s else _replace(s, of_span[s], known) for s in v]
-                    rows_.append({"key": e["key"], "value": v})
-                spans.append(rows_)
-            yield pd.DataFrame({"id": pdf["id"], "text": texts, "spans": spans})
-
-    out = _entries(df, id_col, text_col, output_col).mapInPandas(run, "id long, text string, spans array<struct<key: string, value: array<string>>>")
-    return out.select("id", "text", F.map_from_entries("spans").alias("output"))
+        for whole in batches:
+            for b in (whole.slice(k, 2_000) for k in range(0, whole.num_rows, 2_000)):
+                texts, maps = b.column(1).to_pylist(), b.column(2).to_pylist()
+                of_text = find([t or "" for t in texts])
+                bare = list(dict.fromkeys(s for m in maps for _, v in m or () for s in v or () if s))
+                of_span = dict(zip(bare, find(bare)))
+                for k, (found, m) in enumerate(zip(of_text, maps)):
+                    known = {x[3]: x[0] for x in found}
+                    texts[k] = _replace(texts[k], found, known) if texts[k] else texts[k]
+                    if m is not None:
+                        maps[k] = [(key, None if v is None else [_replace(s, of_span[s], known) if s else s for s in v]) for key, v in m]
+                kind = pa.map_(pa.string(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(maps, kind)], ["id", "text", "output"])
+
+    t = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(output_col).alias("output"))
+    return t.mapInArrow(run, "id long, text string, output map<string, array<string>>")
