@@ -80,3 +80,10 @@ def distinct_in_text(seq: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.
     keep[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
     s, d = s[keep], d[keep]
     return s, d, np.bincount(d, minlength=n_docs)
+
+
+def sliced(batches, rows: int = 2_000):
+    """The same rows in smaller frames: the arrays built from a frame are many times its size."""
+    for pdf in batches:
+        for k in range(0, len(pdf), rows):
+            yield pdf.iloc[k : k + rows].reset_index(drop=True)
