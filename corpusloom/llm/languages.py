@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.wordkit import WORD
+from corpusloom.functions.wordkit import WORD, sliced
 
 LANGS = ("nb", "nn", "en", "sv", "da", "de", "pl")
 #: Labelled documents from which the likelihoods are counted, chosen by hash.
@@ -191,7 +191,7 @@ def _judge(model: Model):
     def run(batches):
         cache = Scores(model)
         table = np.empty((0, len(LANGS)))
-        for pdf in batches:
+        for pdf in sliced(batches):
             if len(cache) > cache.limit:
                 cache, table = Scores(model), np.empty((0, len(LANGS)))
             spans, words, counts, owner, ended = [], [], [], [], []

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.wordkit import WordHashes, distinct_in_text, flat_words, mix, sequences, words
+from corpusloom.functions.wordkit import WordHashes, distinct_in_text, flat_words, mix, sequences, sliced, words
 from corpusloom.llm.classes import class_of, expand, inside
 from corpusloom.operators.components import connected_components
 from corpusloom.session import staged
@@ -42,7 +42,7 @@ def _keys(seq: np.ndarray, n: np.ndarray, tables: int, symbols: int) -> np.ndarr
 
 def _fingerprint(batches, id_col: str, text_col: str, tables: int, symbols: int):
     cache, seen = WordHashes(), set()
-    for pdf in batches:
+    for pdf in sliced(batches):
         ids, first, texts, cls = [], [], [], []
         for i, t in zip(pdf[id_col], pdf[text_col]):
             if not t:

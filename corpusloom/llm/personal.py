@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.wordkit import sliced
 from corpusloom.session import hash_sample
 
 TAGS = ("O", "PERSON", "PHONE", "EMAIL", "NATIONAL_ID", "ADDRESS")
@@ -544,7 +545,7 @@ def find_personal(df: DataFrame, names: DataFrame, id_col: str, text_col: str, o
 
     def run(batches):
         find = _find(crf, endings)
-        for pdf in batches:
+        for pdf in sliced(batches):
             ids, fields, kinds, values = [], [], [], []
             texts = [t or "" for t in pdf["text"]]
             bare, owner = [], []

@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.wordkit import sliced
+
 BITS = 18
 #: Texts of the training sample by hash.
 SAMPLE = 2_500
@@ -195,7 +197,7 @@ def judge(df: DataFrame, id_col: str, text_col: str, limit: int = SAMPLE) -> Dat
 
     def run(batches):
         cache = Tokens()
-        for pdf in batches:
+        for pdf in sliced(batches, 1_000):
             if len(cache) > cache.limit:
                 cache = Tokens()
             every, owner = [], []

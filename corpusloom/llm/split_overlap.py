@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.wordkit import WordHashes, distinct_in_text, flat_words, sequences, words
+from corpusloom.functions.wordkit import WordHashes, distinct_in_text, flat_words, sequences, sliced, words
 from corpusloom.llm.classes import class_of, expand
 from corpusloom.session import staged
 
@@ -206,7 +206,7 @@ def _stream_all(shards: list[str], threshold: float):
                     yield pd.DataFrame(out, columns=["a", "b", "likeness", "n_spans", "n_words"])
 
         hs, ls, cs, held = [], [], [], 0
-        for pdf in batches:
+        for pdf in sliced(batches):
             texts, cls = [], []
             for t in pdf["text"]:
                 w = words(t)
@@ -258,7 +258,7 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: s
 
 
 def _members(batches):
-    for pdf in batches:
+    for pdf in sliced(batches):
         pdf.columns = ["rec_id", "text", "ev"]
         ids, cls, n, ev = [], [], [], []
         for i, t, e in zip(pdf["rec_id"], pdf["text"], pdf["ev"]):
