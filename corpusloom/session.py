@@ -45,6 +45,12 @@ def hash_sample(df: DataFrame, key: str, rows: int, total: int | None = None) ->
     return df.where(F.xxhash64(F.lit(17), key) < F.lit(int(-(2**63) + 2**64 * rows / n)).cast("long"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a table in one row group is otherwise one task's work."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one is set only where none is (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
