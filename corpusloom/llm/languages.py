@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.wordkit import WORD, sliced
+from corpusloom.session import spread
 
 LANGS = ("nb", "nn", "en", "sv", "da", "de", "pl")
 #: Labelled documents from which the likelihoods are counted, chosen by hash.
@@ -253,7 +254,7 @@ def judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, host_cols:
     t = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label(F.col(lang_col)).alias("code"), *host_cols).where("text is not null")
     on = [t[c].eqNullSafe(priors[c]) for c in host_cols]
     t = t.join(priors, on).select("id", "text", "code", "prior")
-    return t.mapInPandas(_judge(model), "id long, start int, end int, n_words int, lang string, confidence double, margin double, full boolean, doc_lang string, doc_confidence double, code string")
+    return spread(t).mapInPandas(_judge(model), "id long, start int, end int, n_words int, lang string, confidence double, margin double, full boolean, doc_lang string, doc_confidence double, code string")
 
 
 def unnamed_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, host_cols: list[str], sure: float = SURE) -> DataFrame:

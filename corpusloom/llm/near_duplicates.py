@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.wordkit import WordHashes, distinct_in_text, flat_words, mix, sequences, sliced, words
 from corpusloom.llm.classes import class_of, expand, inside
 from corpusloom.operators.components import connected_components
-from corpusloom.session import staged
+from corpusloom.session import spread, staged
 
 MIN_WORDS = 40
 SEQUENCE = 5
@@ -119,7 +119,7 @@ def alike_classes(df: DataFrame, id_col: str, text_col: str, threshold: float =
     is missed with probability (1 - s^5 - 5 s^4 (1 - s))^tables: 6e-4 at 0.7, 4e-5 at 0.75, 2e-6 at 0.8.
     """
     base = staged(
-        df.select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text")).mapInPandas(
+        spread(df.select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text"))).mapInPandas(
             lambda b: _fingerprint(b, "rec_id", "text", tables, symbols), "rec_id long, cls long, keys array<long>, sh binary"
         ),
         "fingerprints",

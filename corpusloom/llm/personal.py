@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.wordkit import sliced
-from corpusloom.session import hash_sample
+from corpusloom.session import hash_sample, spread
 
 TAGS = ("O", "PERSON", "PHONE", "EMAIL", "NATIONAL_ID", "ADDRESS")
 REACH = 2
@@ -533,7 +533,7 @@ def model(df: DataFrame, names: DataFrame, id_col: str, text_col: str, output_co
 
 
 def _entries(df: DataFrame, id_col: str, text_col: str, output_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.map_entries(output_col).alias("spans"))
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.map_entries(output_col).alias("spans")))
 
 
 def find_personal(df: DataFrame, names: DataFrame, id_col: str, text_col: str, output_col: str, rows: int = LABELLED_ROWS) -> DataFrame:
@@ -621,4 +621,4 @@ def redact(df: DataFrame, names: DataFrame, id_col: str, text_col: str, output_c
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(maps, kind)], ["id", "text", "output"])
 
     t = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(output_col).alias("output"))
-    return t.mapInArrow(run, "id long, text string, output map<string, array<string>>")
+    return spread(t).mapInArrow(run, "id long, text string, output map<string, array<string>>")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.wordkit import sliced
+from corpusloom.session import spread
 
 BITS = 18
 #: Texts of the training sample by hash.
@@ -219,7 +220,7 @@ def judge(df: DataFrame, id_col: str, text_col: str, limit: int = SAMPLE) -> Dat
             yield pd.DataFrame({id_col: pdf[id_col], "score": best, "residue": np.nan_to_num(best, nan=-1) > 0, "worst": worst})
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(id_col, F.col(text_col).alias("text")).mapInPandas(run, f"`{id_col}` {kind}, score double, residue boolean, worst string")
+    out = spread(df.select(id_col, F.col(text_col).alias("text"))).mapInPandas(run, f"`{id_col}` {kind}, score double, residue boolean, worst string")
     return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.wordkit import WordHashes, distinct_in_text, flat_words, sequences, sliced, words
 from corpusloom.llm.classes import class_of, expand
-from corpusloom.session import staged
+from corpusloom.session import spread, staged
 
 MIN_WORDS = 40
 WINDOW = 5
@@ -237,7 +237,7 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: s
     and streamed once; pairs of classes of more than 10,000 record pairs come as stars. Training work is proportional
     to training words times evaluation shards.
     """
-    t = df.select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text"), F.col(split_col).alias("split")).where("text is not null")
+    t = spread(df.select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text"), F.col(split_col).alias("split")).where("text is not null"))
     ev = t.where(F.col("split").isin(*evaluation))
     tr = t.where(F.col("split") == train)
     members = staged(

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 #: Distinct pre-tokens that a task keeps; beyond that it starts anew.
 KEEP_WORDS = 600_000
@@ -184,7 +186,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = f"{TOKEN
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], [id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, F.col(text_col).alias("text"))).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, keep: list[str], text_col: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
@@ -198,4 +200,4 @@ def token_counts(df: DataFrame, keep: list[str], text_col: str, vocabulary: str
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64())], [*keep, "n_tokens"])
 
     shape = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, F.col(text_col).alias("text")).mapInArrow(run, f"{shape}, n_tokens long")
+    return spread(df.select(*keep, F.col(text_col).alias("text"))).mapInArrow(run, f"{shape}, n_tokens long")
