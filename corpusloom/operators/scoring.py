@@ -93,3 +93,19 @@ def adjudication(a: DataFrame, b: DataFrame, key: str, map_col: str) -> DataFram
     used = met.where("hit").select(key, "etype", F.col("other").alias("span")).distinct()
     second = only_b.join(used, on, "left_anti").withColumns({"verdict": F.lit("only_b"), "partners": F.lit(0).cast("long")})
     return agreed.unionByName(first).unionByName(second)
+
+
+def rate_ratio(gold: DataFrame, predicted: DataFrame, map_col: str, least: float = 0.05, low: float = 0.6, high: float = 1.6) -> DataFrame:
+    """(etype, gold_rate, predicted_rate, ratio, flagged): distinct spans a record on both sides; flagged where the larger rate exceeds ``least`` and
+    the ratio is outside [low, high]. The ratio is null, and flagged, where gold has none."""
+    n = lambda c: F.size(F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda s: s.isNotNull())))
+
+    def rates(df: DataFrame, name: str) -> DataFrame:
+        x = df.select(F.explode(map_col).alias("etype", "_v")).groupBy("etype").agg(F.sum(n(F.col("_v"))).alias("_n"))
+        return x.crossJoin(df.agg(F.count("*").alias("_docs"))).select("etype", (F.col("_n") / F.col("_docs")).alias(name))  # one row
+
+    g, p = F.coalesce("g", F.lit(0.0)), F.coalesce("p", F.lit(0.0))
+    x = rates(gold, "g").join(rates(predicted, "p"), "etype", "full").select("etype", g.alias("g"), p.alias("p"))
+    ratio_ = F.try_divide(F.col("p"), F.col("g"))
+    flagged = (F.greatest("g", "p") > least) & ((F.col("g") == 0) | ~F.coalesce(ratio_.between(low, high), F.lit(True)))
+    return x.select("etype", F.round("g", 6).alias("gold_rate"), F.round("p", 6).alias("predicted_rate"), F.when(F.col("g") > 0, F.round(ratio_, 6)).alias("ratio"), flagged.alias("flagged"))

@@ -92,3 +92,30 @@ def prediction_coverage(spark, d):
     r = dedup.latest(table(spark, d, "predictions"), "id", [F.col("predicted_at").desc_nulls_last(), F.col("seconds").desc_nulls_last()]).select("id", "seconds")
     t = table(spark, d, "processed").select("split", "source").join(r, F.col("source") == F.col("id"), "left")
     return t.groupBy("split").agg(F.count("*").alias("records"), F.count("id").alias("predicted"), F.round(F.avg("seconds"), 6).alias("mean_seconds"), F.round(F.percentile("seconds", 0.9), 6).alias("p90_seconds"))
+
+
+@query(
+    f"""WITH {_ONE}, ge AS (SELECT id, unnest(map_entries(output)) AS e FROM g), pe AS (SELECT id, unnest(map_entries(output)) AS e FROM p),
+a AS (SELECT e.key AS etype, sum(len(list_distinct(list_filter(coalesce(e.value, []), lambda s: s IS NOT NULL)))) / (SELECT count(*) FROM g) AS gold_rate FROM ge GROUP BY 1),
+b AS (SELECT e.key AS etype, sum(len(list_distinct(list_filter(coalesce(e.value, []), lambda s: s IS NOT NULL)))) / (SELECT count(*) FROM p) AS predicted_rate FROM pe GROUP BY 1),
+r AS (SELECT etype, coalesce(gold_rate, 0) AS gold_rate, coalesce(predicted_rate, 0) AS predicted_rate FROM a FULL JOIN b USING (etype))
+SELECT etype, round(gold_rate, 6) AS gold_rate, round(predicted_rate, 6) AS predicted_rate, CASE WHEN gold_rate > 0 THEN round(predicted_rate / gold_rate, 6) END AS ratio,
+ greatest(gold_rate, predicted_rate) > 0.05 AND (gold_rate = 0 OR predicted_rate / gold_rate NOT BETWEEN 0.6 AND 1.6) AS flagged FROM r"""
+)
+def label_rate_ratio(spark, d):
+    """Distinct spans a record by type in predictions against gold, flagged where they differ much."""
+    return scoring.rate_ratio(_gold(spark, d), _predicted(spark, d), "output")
+
+
+@query(
+    """WITH e AS (SELECT id, unnest(map_entries(gemini)) AS e FROM slice_reference), c AS (SELECT e.key AS etype, count(DISTINCT id) AS docs FROM e WHERE len(e.value) > 0 GROUP BY 1),
+t AS (SELECT unnest(['PERSON', 'DATE_TIME', 'GOV_ID', 'HEALTH_INFO', 'RELIGION', 'POSTAL_CODE']) AS etype)
+SELECT etype, coalesce(docs, 0)::BIGINT AS docs, 20 AS target, CASE WHEN coalesce(docs, 0) = 0 THEN 'absent' WHEN docs < 20 THEN 'below' ELSE 'met' END AS state FROM t LEFT JOIN c USING (etype)"""
+)
+def coverage_vs_target(spark, d):
+    """Documents with each wanted type against a target of twenty."""
+    x = table(spark, d, "slice_reference").select("id", F.explode("gemini").alias("etype", "v")).where(F.size("v") > 0)
+    c = x.groupBy("etype").agg(F.countDistinct("id").alias("docs"))
+    t = spark.createDataFrame([(k,) for k in ("PERSON", "DATE_TIME", "GOV_ID", "HEALTH_INFO", "RELIGION", "POSTAL_CODE")], "etype string").join(c, "etype", "left")
+    docs = F.coalesce("docs", F.lit(0))
+    return t.select("etype", docs.cast("long").alias("docs"), F.lit(20).alias("target"), F.when(docs == 0, "absent").when(docs < 20, "below").otherwise("met").alias("state"))

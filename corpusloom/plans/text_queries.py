@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import identifiers as I
+from corpusloom.functions import spans
 from corpusloom.functions import text as T
 from corpusloom.operators import dedup, gates, intervals
 from corpusloom.plans.registry import query
@@ -182,3 +183,34 @@ def template_class(spark, d):
 def parse_props(spark, d):
     t = table(spark, d, "events").withColumn("v", F.try_parse_json("props"))
     return t.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.col("v").isNotNull().alias("parsed"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, len(l)::BIGINT AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '^[^:\n]{2,40}: [^\n]{1,70}$') OR contains(x, '|')))::BIGINT AS table_rows FROM l)
+SELECT doc_id, n_lines, table_rows, table_rows >= 5 AND table_rows > 0.4 * n_lines AS tabular FROM c""")
+def tabular_gate(spark, d):
+    """At least five field or table lines that are more than two fifths of the lines."""
+    x = table(spark, d, "documents").where("text is not null").select("doc_id", F.filter(T.lines(F.col("text")), lambda s: F.trim(s) != "").alias("l"))
+    row = F.filter("l", lambda s: s.rlike(r"^[^:\n]{2,40}: [^\n]{1,70}\z") | F.contains(s, F.lit("|")))
+    x = x.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(row).cast("long").alias("table_rows"))
+    return x.withColumn("tabular", (F.col("table_rows") >= 5) & (F.col("table_rows") > 0.4 * F.col("n_lines")))
+
+
+@query(r"""WITH p AS (SELECT rec_id, generate_subscripts(string_split(text_input, chr(10) || chr(10)), 1) AS k, unnest(string_split(text_input, chr(10) || chr(10))) AS part FROM combined_data WHERE text_input IS NOT NULL),
+o AS (SELECT rec_id, k, length(part) AS n, sum(length(part) + 2) OVER (PARTITION BY rec_id ORDER BY k) - length(part) - 2 AS a FROM p)
+SELECT rec_id, k::INT AS part_no, a::BIGINT AS start_char, (a + n)::BIGINT AS end_char FROM o""")
+def section_offsets(spark, d):
+    """Paragraphs as half-open spans of code points."""
+    parts = F.split("text_input", "\n\n", -1)
+    x = table(spark, d, "combined_data").where("text_input is not null").select("rec_id", F.transform(parts, lambda p: F.length(p)).alias("n"))
+    ends = F.aggregate("n", F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n + 2))
+    x = x.select("rec_id", F.posexplode(F.transform("n", lambda n, i: F.struct(F.get(ends, i).alias("a"), n.alias("n")))).alias("pos", "s"))
+    return x.select("rec_id", (F.col("pos") + 1).alias("part_no"), F.col("s.a").cast("long").alias("start_char"), (F.col("s.a") + F.col("s.n")).cast("long").alias("end_char"))
+
+
+@query()
+def number_cues(spark, d):
+    """The nearest cue before each eleven-digit number: label and number decide its kind, not the shape alone."""
+    x = table(spark, d, "combined_data").select("rec_id", F.explode(F.regexp_extract_all("text_input", F.lit(r"((?s).{0,45}(?<![0-9])[0-9]{11}(?![0-9]))"), F.lit(1))).alias("m"))
+    cue = spans.nearest_cue(F.substring(F.col("m"), F.lit(1), F.length("m") - 11), ["fødselsnummer", "personnr", "personnummer", "fnr", "født nr", "strekkode", "kontonummer"])
+    return x.select("rec_id", F.substring(F.col("m"), F.length("m") - 10, F.lit(11)).alias("number"), cue.alias("cue"))

@@ -192,3 +192,22 @@ def test_streams(spark, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame([(k, "t%d" % (k % 3) if k else None) for k in range(20)], "i long, text string").repartition(3).write.parquet(folder + "/docs.parquet")
     assert incremental.new_digests(spark, folder, "docs", "text").count() == 3
+
+
+def test_span_functions(spark):
+    from corpusloom.functions import spans as S
+
+    df = spark.createDataFrame([("Se ⟦PERSON: Kari Moe⟧ og ⟦AGE: 9 år⟧.",), ("åpen ⟦PERSON: x",), (None,)], "t string").select(S.strip_markers(F.col("t")).alias("s")).collect()
+    assert df[0]["s"]["text"] == "Se Kari Moe og 9 år." and [tuple(x) for x in df[0]["s"]["spans"]] == [("PERSON", "Kari Moe"), ("AGE", "9 år")] and df[0]["s"]["balanced"] and not df[1]["s"]["balanced"]
+    e = spark.createDataFrame([("den 1. mai klokken 12 og 1. mai klokken 12", "1. mai"), ("1. mai kl 9 og 1. mai", "1. mai"), ("x", "1. mai"), (None, "a")], "t string, s string").select(S.extended(F.col("t"), F.col("s")))
+    assert [r[0] for r in e.collect()] == ["1. mai klokken 12", "1. mai", "1. mai", "a"]
+    c = spark.createDataFrame([("Fnr og konto: ",), ("ingen",), ("personnummer ",), (None,)], "t string").select(S.nearest_cue(F.col("t"), ["fnr", "konto", "nummer", "personnummer"]))
+    assert [r[0] for r in c.collect()] == ["konto", None, "personnummer", None]
+    m = spark.createDataFrame([("A er her. Dette er en tekst. Dette er Kari.", ["Kari"])], "t string, p array<string>").select(S.without_sentences(F.col("t"), "^Dette", F.col("p")))
+    assert m.first()[0] == "A er her. Dette er Kari."
+    a = spark.createDataFrame([("FUNN|HEALTH| har vondt \nannet\nFUNN|AGE|9|år",), ("",), (None,)], "t string").select(S.parse_audit(F.col("t"))).collect()
+    assert [tuple(x) for x in a[0][0]] == [("HEALTH", "har vondt"), ("AGE", "9|år")] and not a[1][0]
+    q = spark.createDataFrame([("han har vondt i kneet", "sa han har vondt i kneet nå"), ("abc", "x y"), ("a b", "a b")], "t string, q string").select(S.trimmed_to_text(F.col("t"), F.col("q")))
+    assert [r[0] for r in q.collect()] == ["han har vondt i kneet", None, "a b"]
+    b = spark.createDataFrame([("Kari Moe bor.", [("PERSON", 0, 8)]), ("", [])], "t string, s array<struct<etype:string,start:int,end:int>>").select(S.bio_tags(F.col("t"), F.col("s"))).collect()
+    assert [tuple(x) for x in b[0][0]] == [(0, "Kari", "B-PERSON"), (5, "Moe", "I-PERSON"), (9, "bor", "O")] and b[1][0] == []
