@@ -38,9 +38,9 @@ LEGACY = {"PERSON": "PERSON", "NO_PHONE_NUMBER": "PHONE", "EMAIL_ADDRESS": "EMAI
 WEIGHTS = ((3, 7, 6, 1, 8, 9, 4, 5, 2, 1), (5, 4, 3, 2, 7, 6, 5, 4, 3, 2, 1))
 
 TOKEN = re.compile(r"\s*(?:[^\W\d_]+|\d+|[^\w\s]|_)")
-_AT = r"(?:\s?[\[(]\s?(?:at|a)\s?[\])]\s?|\s?@\s?)"
+_AT = r"(?:\s{0,2}[\[(]\s?(?:at|a|AT|A)\s?[\])]\s{0,2}|[ \xa0]{0,2}@[ \xa0]{0,2})"
 _EMAIL = re.compile(rf"[\w.+\-]+{_AT}[\w\-]+(?:\.[\w\-]+)+")
-_PHONE = re.compile(r"(?<![\w.\-/])(?:(?:\(\+47\)|\+47|0047)[ \xa0]*(?:\d[ \xa0\-]*){7}\d|\+44[ \xa0]*\d{4}[ \xa0]*\d{6}|4\d{7}|4\d{2}([ \xa0\-]{1,2})\d{2}\1\d{3}|4\d(?:[ \xa0\-]{1,2}\d{2}){3})(?![\w\-/]|\.\d)")
+_PHONE = re.compile(r"(?<![\w.\-/])(?:(?:\(\+47\)|\+47|0047)[ \xa0]*(?:\d[ \xa0\-]*){7}\d|\+44[ \xa0]*\d{4}[ \xa0]*\d{6}|4\d{7}|4\d{2}[ \xa0\-]{1,2}\d{2}[ \xa0\-]{1,2}\d{3}|4\d(?:[ \xa0\-]{1,2}\d{2}){3})(?![\w\-/]|\.\d)")
 _ID = re.compile(r"(?<![\d.])\d{2}\.?\d{2}\.?\d{2}[ \xa0\-]{0,2}\d{5}(?!\d)")
 _STREET = re.compile(r"(?i)(?<!\w)(?:(?:(?:gamle|nedre|øvre|store|lille)[ \xa0]+)?[^\W\d_]+(?:veien|vegen|gata|gaten|stien|tunet|bakken|svingen|lia|plassen)|[^\W\d_]+s[ \xa0]+(?:vei|veg|gate|plass)|postboks|boks)[ \xa0]+\d+(?:[ \xa0]?-[ \xa0]?\d+|[ \xa0]?[a-zæøå])?(?!\w)")
 
@@ -221,7 +221,7 @@ def annotate(text: str, spans: dict[str, list[str]], first, last) -> tuple[list[
     digits = {re.sub(r"\D", "", s) for s, k in own if k == "PHONE"}
     for m in _PHONE.finditer(text):
         before = text[max(0, m.start() - 30) : m.start()].lower()
-        if re.sub(r"\D", "", m.group()) in digits or re.search(r"(?:tlf|telefon|mobil|ring|nummeret|fra|på)\W*(?:gjerne [^\n]{0,20})?$", before):
+        if m.group() == text.strip() or re.sub(r"\D", "", m.group()) in digits or re.search(r"(?:tlf|telefon|mobil|ring|nummeret|fra|på)\W*(?:gjerne [^\n]{0,20})?$", before):
             _mark(tags, ends, starts, m.start(), m.end(), 2)
     low = [t.strip().lower() for t in tokens]
 
@@ -393,8 +393,8 @@ def labelled_table(df: DataFrame, id_col: str, text_col: str, output_col: str, n
     for r in hash_sample(t, "id", rows).where(F.length("text").between(50, 6_000)).orderBy("id").collect():  # about ``rows`` at most
         spans = {k: [s for s in (v or []) if s] for k, v in (r["output"] or {}).items()}
         out.append(annotate(r["text"], spans, first, last))
-        for v in spans.values():
-            out += [annotate(s, spans, first, last) for s in v]
+        for k, v in spans.items():  # names also in lower case, in which some are written
+            out += [annotate(x, {}, first, last) for s in v for x in ((s, s.lower()) if k == "PERSON" else (s,))]
     return out
 
 
