@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -21,13 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to executors on other machines, once a session; local executors import it from the path."""
+    """Send this package to the executors' Python, once a session: it need not be on their path."""
     app = spark.sparkContext.applicationId
-    if app in _SHIPPED or spark.sparkContext.master.startswith("local"):
+    if app in _SHIPPED:
         return
     _SHIPPED.add(app)
     here = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(), "corpusloom.zip")
+    target = os.path.join(folder := tempfile.mkdtemp(), "corpusloom.zip")
+    atexit.register(shutil.rmtree, folder, True)
     with zipfile.ZipFile(target, "w") as z:
         for root, _, files in os.walk(here):
             for f in files:
