@@ -244,8 +244,12 @@ def _judge(model: Model):
     return run
 
 
-def judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, host_cols: list[str]) -> DataFrame:
-    """Every sentence of every text with its language, confidence and whether it counts as a full sentence.
+_SENTENCES = "id long, start int, end int, n_words int, lang string, confidence double, margin double, full boolean, doc_lang string, doc_confidence double, code string"
+_PASSAGES = "id long, passage int, lang string, confidence double, start int, end int, doc_lang string, doc_confidence double"
+
+
+def judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, host_cols: list[str], by_passage: bool = False) -> DataFrame:
+    """Every sentence of every text with its language, confidence and whether it counts as a full sentence; or every passage.
 
     Null and blank texts have none.
     """
@@ -253,8 +257,11 @@ def judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, host_cols:
     priors = host_priors(df, lang_col, host_cols)
     t = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label(F.col(lang_col)).alias("code"), *host_cols).where("text is not null")
     on = [t[c].eqNullSafe(priors[c]) for c in host_cols]
-    t = t.join(priors, on).select("id", "text", "code", "prior")
-    return spread(t).mapInPandas(_judge(model), "id long, start int, end int, n_words int, lang string, confidence double, margin double, full boolean, doc_lang string, doc_confidence double, code string")
+    t = spread(t.join(priors, on).select("id", "text", "code", "prior"))
+    judge = _judge(model)
+    if by_passage:  # a frame holds whole documents
+        return t.mapInPandas(lambda batches: map(_runs, judge(batches)), _PASSAGES)
+    return t.mapInPandas(judge, _SENTENCES)
 
 
 def unnamed_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, host_cols: list[str], sure: float = SURE) -> DataFrame:
@@ -268,13 +275,7 @@ def passages(df: DataFrame, id_col: str, text_col: str, lang_col: str, host_cols
 
     Short pieces (headings, names) go with the passage before them, or at a text's beginning with the next. Texts without words have none.
     """
-    s = judged(df, id_col, text_col, lang_col, host_cols)
-    def run(batches):
-        for pdf in batches:
-            yield _runs(pdf)
-
-    # a document's sentences come out of one task, next to each other and in order
-    return s.mapInPandas(run, "id long, passage int, lang string, confidence double, start int, end int, doc_lang string, doc_confidence double")
+    return judged(df, id_col, text_col, lang_col, host_cols, by_passage=True)
 
 
 def _runs(pdf: pd.DataFrame) -> pd.DataFrame:
