@@ -110,10 +110,14 @@ class Rows(dict):
         self.crf, self.limit = crf, limit
         self.list: list[np.ndarray] = [np.zeros((2 * REACH + 1, len(TAGS)))]
         self.table = np.zeros((0, 2 * REACH + 1, len(TAGS)), np.float32)
+        self.sizes, self.breaks, self.commas = [0], [False], [False]
 
     def __missing__(self, token: str) -> int:
         n = self[token] = len(self.list)
         self.list.append(self.crf.rows(token))
+        self.sizes.append(len(token))
+        self.breaks.append("\n" in token)
+        self.commas.append(token == ",")
         return n
 
     def array(self) -> np.ndarray:
@@ -400,6 +404,8 @@ def labelled_table(df: DataFrame, id_col: str, text_col: str, output_col: str, n
 
 # --- finding --------------------------------------------------------------------------------------------------
 
+_AFTER = re.compile(r"[ \xa0]+(?=[^\W\d_]+(?:[ \xa0]|$))(?=[a-zæøå])")
+_PARTS = re.compile(r"\s*[;*|<>(){}=/]\s*")
 _GENITIVE = re.compile(r"(?:['’]s?|['’])$")
 
 
@@ -464,9 +470,9 @@ def tidy(kind: str, span: str, endings: frozenset[str], after: str) -> str | Non
     s = re.sub(r"^[^\W\d_][ \xa0]+(?=[^\W\d_]{2})", "", s)  # a preposition of one letter; an initial has its point
     if re.search(r"[\d@:\n_+]|[^\W\d_]{2}\.|\.[^\W\d_]{2}", s) or after[:1] in "@+_" and after:
         return None
-    s = max(re.split(r"\s*[;*|<>(){}=/]\s*", s), key=len)
+    s = max(_PARTS.split(s), key=len)
     if s[:1].isupper():  # a preposition after the name
-        s = re.split(r"[ \xa0]+(?=[^\W\d_]+(?:[ \xa0]|$))(?=[a-zæøå])", s)[0].strip(" ,")
+        s = _AFTER.split(s)[0].strip(" ,")
     s = _GENITIVE.sub("", s)
     low = s.lower()
     if "," not in s and low.endswith("s") and low[-3:] not in endings and low[-4:] not in endings and after[:1] != ",":
@@ -495,14 +501,14 @@ def _find(crf: Crf, endings: frozenset[str]):
             return out
         flat = list(chain.from_iterable(each))
         ids = np.fromiter(map(rows.__getitem__, flat), np.int64, n)
-        size = np.fromiter(map(len, flat), np.int64, n)
+        size = np.array(rows.sizes)[ids]
         doc = np.repeat(np.arange(len(texts)), lens)
-        new = np.fromiter(("\n" in t for t in flat), bool, n)
+        new = np.array(rows.breaks)[ids]
         new[0] = True
         new[1:] |= doc[1:] != doc[:-1]
         inside = np.cumsum(new)
         tags = decode(emissions(ids, inside, rows.array()), inside, crf)
-        comma = np.fromiter((t == "," for t in flat), bool, n)
+        comma = np.array(rows.commas)[ids]
         k = np.flatnonzero(comma[1:-1] & (tags[:-2] == 1) & (tags[2:] == 1) & ~new[2:]) + 1 if n > 2 else np.empty(0, np.int64)
         k = k[(tags[np.maximum(k - 2, 0)] != 1) | np.fromiter((flat[max(i - 2, 0)] == "-" for i in k), bool, len(k)) | new[k - 1]]
         tags[k] = 1  # last name, comma, first names
@@ -516,7 +522,8 @@ def _find(crf: Crf, endings: frozenset[str]):
             t = texts[d]
             p, q = int(begin[i]), int(begin[j] + size[j])
             kind = TAGS[tags[i]]
-            for kind, p, q in [(x, *at) for x in _ALSO[kind] for at in exact(x, t, p, q)]:
+            also = _ALSO[kind] if kind != "PERSON" or t[q : q + 4].lstrip()[:1].isdigit() else ("PERSON",)  # a number follows a street
+            for kind, p, q in [(x, *at) for x in also for at in exact(x, t, p, q)]:
                 value = tidy(kind, t[p:q], endings, t[q : q + 2])
                 if value:
                     p = t.index(value, p)
@@ -547,7 +554,8 @@ def find_personal(df: DataFrame, names: DataFrame, id_col: str, text_col: str, o
         find = _find(crf, endings)
         for pdf in sliced(batches):
             ids, fields, kinds, values = [], [], [], []
-            texts = [t or "" for t in pdf["text"]]
+            of_text = find([t or "" for t in pdf["text"]])
+            known = [{x[3]: x[0] for x in found} for found in of_text]
             bare, owner = [], []
             for k, entries in enumerate(pdf["spans"]):
                 for e in entries if entries is not None else ():
@@ -555,9 +563,8 @@ def find_personal(df: DataFrame, names: DataFrame, id_col: str, text_col: str, o
                         if s and len(s) > 4:
                             bare.append(s)
                             owner.append(k)
-            kept = list(dict.fromkeys(bare))
+            kept = list(dict.fromkeys(s for k, s in zip(owner, bare) if s.strip() not in known[k]))  # what the text has told needs no search
             at = dict(zip(kept, find(kept)))
-            of_text = find(texts)
             id_list = pdf["id"].tolist()
             for k, found in enumerate(of_text):
                 for kind, value in dict.fromkeys((x[0], x[3]) for x in found):
@@ -565,7 +572,6 @@ def find_personal(df: DataFrame, names: DataFrame, id_col: str, text_col: str, o
                     fields.append("text_input")
                     kinds.append(kind)
                     values.append(value)
-            known = [{x[3]: x[0] for x in found} for found in of_text]
             seen = set()
             for k, s in zip(owner, bare):
                 t = s.strip()
