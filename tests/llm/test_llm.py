@@ -133,6 +133,20 @@ def test_repetition(spark):
     assert repetition.outliers(spark.createDataFrame([], "rec_id long, text string"), "rec_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("copied,loops", [(90, 0), (0, 90), (0, 250), (400, 0)])
+def test_repetition_where_much_of_a_group_loops(spark, copied, loops):
+    rng = random.Random(8)
+    plain = lambda n: " ".join("ord%d" % rng.randrange(10_000) for _ in range(n))
+    loop = lambda: (plain(12) + ". ") * rng.randrange(3, 12) + plain(30)
+    mild = lambda: (w := plain(14)) + ". " + plain(45) + ". " + w + "."
+    rows = [(k, plain(120)) for k in range(150)] + [(200 + k, mild()) for k in range(8)]
+    one = loop()
+    rows += [(1000 + k, one) for k in range(copied)] + [(2000 + k, loop()) for k in range(loops)]
+    out = repetition.outliers(spark.createDataFrame(rows, "rec_id long, text string"), "rec_id", "text").collect()
+    assert len(out) == len(rows) and min(r["share"] for r in out if 200 <= r["id"] < 300) > 0.06
+    assert {r["id"] for r in out if r["outlier"] and r["share"] > 0.06} == {k for k, _ in rows if k >= 200}
+
+
 def test_route_and_mix(spark):
     total, flows = mixing.route({("a",): 100, ("a", "b"): 50, ("b",): 10}, {"a": 120, "b": 60}, {"a": 1, "b": 3})
     assert total == sum(flows.values()) == 180 - 0 and flows[("b",), "b"] <= 30
