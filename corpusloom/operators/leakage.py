@@ -28,6 +28,21 @@ def report(df: DataFrame, split: str, text: str) -> DataFrame:
     return out
 
 
+def checks(df: DataFrame, split: str, text: str, labels: str) -> DataFrame:
+    """(kind, n): evaluation records whose text, or skeleton (digits, capitalised words and white space evened out), stands in training
+    too, and distinct PERSON values of both sides; texts of up to twelve characters are left out of the first two."""
+    t = df.where(F.length(F.trim(text)) > MIN_TEXT_CHARS).select(split, F.md5(text).alias("shared_text"), F.md5(T.skeleton(F.col(text))).alias("shared_skeleton"))
+    names = df.select(split, F.explode(F.try_element_at(labels, F.lit("PERSON"))).alias("shared_name"))
+    out = None
+    for kind, x in (("shared_text", t), ("shared_skeleton", t), ("shared_name", names)):
+        train = x.where(F.col(split) == "train").select(kind).distinct()
+        held = x.where(F.col(split) != "train").select(kind)
+        held = held.distinct() if kind == "shared_name" else held
+        n = held.join(train, kind, "left_semi").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 def decontaminated(train: DataFrame, benchmark: DataFrame, text: str) -> DataFrame:
     """Training rows whose text no benchmark row has."""
     b = benchmark.where(F.col(text).isNotNull()).select(F.md5(text).alias("_digest")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import dedup, intervals, leakage
 from corpusloom.plans.registry import query
+from corpusloom.plans.text_queries import SKELETON_SQL
 from corpusloom.session import table
 
 
@@ -79,6 +80,18 @@ def leak_report(spark, d):
     return leakage.report(table(spark, d, "processed"), "split", "text_input")
 
 
+@query(
+    rf"""WITH t AS (SELECT split, text_input AS x, md5({SKELETON_SQL % 'text_input'}) AS s FROM processed WHERE length(trim(text_input)) > 12),
+p AS (SELECT split, unnest(output['PERSON']) AS name FROM processed)
+SELECT 'shared_text' AS kind, count(*) AS n FROM t WHERE split <> 'train' AND x IN (SELECT x FROM t WHERE split = 'train')
+UNION ALL SELECT 'shared_skeleton', count(*) FROM t WHERE split <> 'train' AND s IN (SELECT s FROM t WHERE split = 'train')
+UNION ALL SELECT 'shared_name', count(DISTINCT name) FROM p WHERE split <> 'train' AND name IN (SELECT name FROM p WHERE split = 'train' AND name IS NOT NULL)"""
+)
+def leak_checks(spark, d):
+    """Beside leak_report, whose skeleton only evens out digits: the whole skeleton, and full names of both sides."""
+    return leakage.checks(table(spark, d, "processed"), "split", "text_input", "output")
+
+
 @query(
     r"""SELECT rec_id, split FROM processed p WHERE split = 'train' AND (text_input IS NULL OR NOT EXISTS (SELECT 1 FROM processed q WHERE q.split IN ('val', 'test') AND q.text_input = p.text_input))"""
 )

@@ -211,3 +211,15 @@ def test_span_functions(spark):
     assert [r[0] for r in q.collect()] == ["han har vondt i kneet", None, "a b"]
     b = spark.createDataFrame([("Kari Moe bor.", [("PERSON", 0, 8)]), ("", [])], "t string, s array<struct<etype:string,start:int,end:int>>").select(S.bio_tags(F.col("t"), F.col("s"))).collect()
     assert [tuple(x) for x in b[0][0]] == [(0, "Kari", "B-PERSON"), (5, "Moe", "I-PERSON"), (9, "bor", "O")] and b[1][0] == []
+
+
+def test_leak_checks_see_other_names(spark):
+    rows = [
+        ("train", "Kari Nordmann bor i Oslo, saken er 12.", {"PERSON": ["Kari Nordmann", "Ola"]}),
+        ("test", "Anne Hansen bor i  Bergen, saken er 47.", {"PERSON": ["Anne Hansen"]}),
+        ("val", "Noe helt annet enn treningen har.", {"PERSON": ["Kari Nordmann", "Kari Nordmann", None]}),
+        ("val", None, None),
+    ]
+    df = spark.createDataFrame(rows, "split string, text string, output map<string, array<string>>")
+    got = {r["kind"]: r["n"] for r in leakage.checks(df, "split", "text", "output").collect()}
+    assert got == {"shared_text": 0, "shared_skeleton": 1, "shared_name": 1}
