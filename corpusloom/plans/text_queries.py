@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import identifiers as I
 from corpusloom.functions import spans
 from corpusloom.functions import text as T
-from corpusloom.operators import dedup, gates, intervals
+from corpusloom.operators import dedup, gates, intervals, sweeps
 from corpusloom.plans.registry import query
-from corpusloom.session import table
+from corpusloom.session import spread, table
 
 SKELETON_SQL = r"""trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(regexp_replace(%s, '[0-9]', '#', 'g'), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'),
     lambda w: CASE WHEN regexp_full_match(w, '[A-ZÆØÅ][a-zæøå]+') THEN 'N' ELSE w END), ''), '[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1680}\x{0B}]+', ' ', 'g'))"""
@@ -106,6 +106,12 @@ def pattern_sweep(spark, d):
     return gates.sweep(table(spark, d, "combined_data"), "rec_id", "text_input")
 
 
+@query()
+def full_sweep(spark, d):
+    """Beside pattern_sweep, whose five patterns SQL can express: all shapes, labelled values, dates and ages with their places, findings inside others left out."""
+    return sweeps.findings(spread(table(spark, d, "combined_data").select("rec_id", "text_input")), "rec_id", "text_input")
+
+
 @query(r"""WITH r AS (SELECT rec_id, unnest(list_filter(regexp_extract_all(regexp_replace(text_input, '([0-9])[ .\-]([0-9])', '\1\2', 'g'), '[0-9]+'), lambda x: length(x) = 11)) AS number FROM combined_data),
 w AS (SELECT DISTINCT rec_id, number, list_transform(string_split(number, ''), lambda c: c::INT) AS x FROM r)
 SELECT rec_id, number,

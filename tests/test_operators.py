@@ -10,7 +10,7 @@ from corpusloom.functions import identifiers as I
 from corpusloom.functions import labels as L
 from corpusloom.functions import prompts
 from corpusloom.functions import text as T
-from corpusloom.operators import dedup, gates, intervals, leakage, scoring, taxonomy, validation
+from corpusloom.operators import dedup, gates, intervals, leakage, scoring, sweeps, taxonomy, validation
 from corpusloom.operators.components import connected_components
 from corpusloom.sources import jsonl
 
@@ -223,3 +223,18 @@ def test_leak_checks_see_other_names(spark):
     df = spark.createDataFrame(rows, "split string, text string, output map<string, array<string>>")
     got = {r["kind"]: r["n"] for r in leakage.checks(df, "split", "text", "output").collect()}
     assert got == {"shared_text": 0, "shared_skeleton": 1, "shared_name": 1}
+
+
+def test_full_sweep(spark):
+    text = "Fnr 010203 12345 og 01020312345, org 987 654 321, tlf 22 33 44 55, konto 1234.56.78901, bil AB 12345, MAC 0a:1b:2c:3d:4e:5f, IP 10.0.0.1, se www.eks.no/a. Våpenkort nr. 123456, merke: kjennemerke R-12-B."
+    text += " Møtet 3. mars 2024 kl. 14:30 og 04.05.2023, hun er 42 år, 0150 Oslo, 2024 Deres ref, 2020 2021, pass N12345678, e-post a.b@c.no, 2024-01-31."
+    rows = [(1, text), (2, None), (3, ""), (4, "3. mai 2024 og 3. mai 2024 kl. 9")]
+    got = sweeps.findings(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
+    assert all(dict(rows)[r["id"]][r["start_char"] : r["end_char"]] == r["match"] for r in got)
+    assert sorted((r["pattern"], r["match"]) for r in got if r["id"] == 1) == sorted([
+        ("fnr_like", "010203 12345"), ("fnr_like", "01020312345"), ("org_like", "987 654 321"), ("phone_like", "22 33 44 55"), ("account_like", "1234.56.78901"),
+        ("plate_like", "AB 12345"), ("mac_like", "0a:1b:2c:3d:4e:5f"), ("ip_like", "10.0.0.1"), ("url_like", "www.eks.no/a"), ("firearms_like", "123456"), ("vessel_like", "R-12-B"),
+        ("date_like", "3. mars 2024 kl. 14:30"), ("date_like", "04.05.2023"), ("date_like", "2024-01-31"), ("age_like", "42 år"), ("postal_like", "0150 Oslo"),
+        ("document_number_like", "N12345678"), ("email_like", "a.b@c.no"),
+    ])
+    assert sorted((r["pattern"], r["match"]) for r in got if r["id"] == 4) == [("date_time_mixed", "3. mai 2024"), ("date_time_mixed", "3. mai 2024 kl. 9")]
