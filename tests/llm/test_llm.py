@@ -147,6 +147,12 @@ def test_repetition_where_much_of_a_group_loops(spark, copied, loops):
     assert {r["id"] for r in out if r["outlier"] and r["share"] > 0.06} == {k for k, _ in rows if k >= 200}
 
 
+def test_repetition_language_of_the_whole_text(spark):
+    text = "Det ble ikke noe fra de. " * 70 + "Eg veit ikkje kva dei fekk frå noko. " * 100
+    assert len(text[:1500]) == 1500
+    assert [r["lang"] for r in repetition.statistics(spark.createDataFrame([(1, text)], "rec_id long, text string"), "rec_id", "text").collect()] == ["nn"]
+
+
 def test_route_and_mix(spark):
     total, flows = mixing.route({("a",): 100, ("a", "b"): 50, ("b",): 10}, {"a": 120, "b": 60}, {"a": 1, "b": 3})
     assert total == sum(flows.values()) == 180 - 0 and flows[("b",), "b"] <= 30
