@@ -217,6 +217,13 @@ def section_offsets(spark, d):
 @query()
 def number_cues(spark, d):
     """The nearest cue before each eleven-digit number: label and number decide its kind, not the shape alone."""
-    x = table(spark, d, "combined_data").select("rec_id", F.explode(F.regexp_extract_all("text_input", F.lit(r"((?s).{0,45}(?<![0-9])[0-9]{11}(?![0-9]))"), F.lit(1))).alias("m"))
-    cue = spans.nearest_cue(F.substring(F.col("m"), F.lit(1), F.length("m") - 11), ["fødselsnummer", "personnr", "personnummer", "fnr", "født nr", "strekkode", "kontonummer"])
-    return x.select("rec_id", F.substring(F.col("m"), F.length("m") - 10, F.lit(11)).alias("number"), cue.alias("cue"))
+    return _number_cues(table(spark, d, "combined_data"))
+
+
+def _number_cues(df):
+    # the context is looked back for, not matched, so that it may hold the number before
+    number = F.lit(r"(?s)(?<![0-9])(?=[0-9]{11}(?![0-9]))(?<=(\A.{0,44}|.{45}))([0-9]{11})")
+    found = F.arrays_zip(*[F.regexp_extract_all("text_input", number, F.lit(k)).alias(c) for k, c in ((1, "before"), (2, "number"))])
+    x = df.select("rec_id", F.explode(found).alias("m"))
+    cue = spans.nearest_cue(F.col("m.before"), ["fødselsnummer", "personnr", "personnummer", "fnr", "født nr", "strekkode", "kontonummer"])
+    return x.select("rec_id", F.col("m.number").alias("number"), cue.alias("cue"))

@@ -238,3 +238,12 @@ def test_full_sweep(spark):
         ("document_number_like", "N12345678"), ("email_like", "a.b@c.no"),
     ])
     assert sorted((r["pattern"], r["match"]) for r in got if r["id"] == 4) == [("date_time_mixed", "3. mai 2024"), ("date_time_mixed", "3. mai 2024 kl. 9")]
+
+
+def test_number_cues_of_near_numbers(spark, tmp_path):
+    from corpusloom.plans import text_queries
+
+    rows = [(1, "fnr 12345678901 og kontonummer 10987654321"), (2, "10987654321\n" + "x" * 60 + " fnr: 12345678901."), (3, "123456789012"), (4, None)]
+    spark.createDataFrame(rows, "rec_id long, text_input string").write.parquet(f"{tmp_path}/combined_data.parquet")
+    got = {tuple(r) for r in text_queries.number_cues(spark, str(tmp_path)).collect()}
+    assert got == {(1, "12345678901", "fnr"), (1, "10987654321", "kontonummer"), (2, "10987654321", None), (2, "12345678901", "fnr")}
