@@ -7,8 +7,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A pair of classes with more record pairs than this is expanded as two stars instead of all pairs.
-EXPAND_LIMIT = 10_000
+#: A pair of classes with more record pairs than this is expanded as two stars instead of all pairs; queries of classes have it exactly.
+EXPAND_LIMIT = 1_000_000
 
 
 def class_of(words: list[str]) -> int:

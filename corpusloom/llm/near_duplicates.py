@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.wordkit import WordHashes, distinct_in_text, flat_words, mix, sequences, sliced, words
-from corpusloom.llm.classes import class_of, expand, inside
+from corpusloom.llm.classes import EXPAND_LIMIT, class_of, expand, inside
 from corpusloom.operators.components import connected_components
 from corpusloom.session import spread, staged
 
@@ -144,15 +144,16 @@ def alike_classes(df: DataFrame, id_col: str, text_col: str, threshold: float =
     return base.select("rec_id", "cls"), staged(pairs, "alike")
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, limit: int = EXPAND_LIMIT) -> DataFrame:
     """Pairs (id_a, id_b), smaller first, of likeness ``threshold`` or more; equal texts included.
 
-    Pairs between or inside classes of copies of more than 10,000 record pairs come as stars around the class's
-    representative, so every record keeps its links and the rows stay linear in the records.
+    Pairs between or inside classes of copies of more than ``limit`` record pairs come as stars around the class's
+    representative, so every record keeps its links and the rows stay linear in the records; ``alike_classes`` has
+    them exactly, as pairs of classes and membership.
     """
     members, pairs = alike_classes(df, id_col, text_col, threshold)
-    near = expand(pairs.select("a", "b"), members, members)
-    every = near.unionByName(inside(members))
+    near = expand(pairs.select("a", "b"), members, members, limit)
+    every = near.unionByName(inside(members, limit))
     return every.select(F.least("l", "r").alias("id_a"), F.greatest("l", "r").alias("id_b"))
 
 

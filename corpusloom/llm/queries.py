@@ -38,6 +38,20 @@ def p2_counts(spark, d):
     return split_overlap.overlap_counts(_overlaps(spark, d), table(spark, d, "processed"), "rec_id", "split", "source")
 
 
+def p2_classes(spark, d):
+    """Pairs of classes with their numbers of records: exact whatever the copies."""
+    members, pairs = split_overlap.overlapping_classes(table(spark, d, "processed"), "rec_id", "text_input", "split")
+    size = lambda ev, c: members.where(F.col("ev") == ev).groupBy(F.col("cls").alias(c)).agg(F.count("*").alias(f"n_{c}"), F.min("rec_id").alias(f"rec_{c}"))
+    return pairs.join(size(False, "a"), "a").join(size(True, "b"), "b")
+
+
+def p2_members(spark, d):
+    """Class of every record of the splits that has enough words, and its number of partner classes."""
+    members, pairs = split_overlap.overlapping_classes(table(spark, d, "processed"), "rec_id", "text_input", "split")
+    links = pairs.select(F.col("a").alias("cls"), F.lit(False).alias("ev")).union(pairs.select("b", F.lit(True))).groupBy("cls", "ev").agg(F.count("*").alias("n_links"))
+    return members.join(links, ["cls", "ev"], "left").select("rec_id", "cls", "ev", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p3_found(spark, d):
     return splitting.oversized(table(spark, d, "combined_data"), "rec_id", "text_input")
 
@@ -99,5 +113,5 @@ def p9_passages(spark, d):
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_counts, p2_found, p2_counts, p3_found, p3_pieces, p4_found, p4_clean, p4_validation, p5_found, p5_shares, p6_found, p6_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_passages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_counts, p2_found, p2_counts, p2_classes, p2_members, p3_found, p3_pieces, p4_found, p4_clean, p4_validation, p5_found, p5_shares, p6_found, p6_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_passages)}
 SQL: dict[str, str] = {}

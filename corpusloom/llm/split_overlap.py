@@ -1,11 +1,12 @@
 """Problem 2: the same or nearly the same records across splits.
 
 Method: compressed full-text index of evaluation shards. The distinct evaluation texts are cut into shards of close
-length; each shard is a word-level index (Burrows-Wheeler order of all suffixes by their first eight words, position
-lists for rank, the document of each row), stored compressed. Training texts are streamed through backward search:
-each five-word window's interval gives its count in the shard; adjacent windows merge into maximal spans; a text
-covered too little by spans can have no partner, and of the others only the rarest windows have to be located, which
-loses no partner. Located pairs are verified on their whole sets of windows.
+size; each shard is a word-level index (Burrows-Wheeler order of all suffixes, position lists for rank, the text of
+each row). A training text is streamed only through the shards that can hold a partner: texts of the threshold's
+likeness have one of their rarest windows in common, so training texts and shards meet on those windows. Backward
+search gives the interval of each window; a text covered too little is out, of the others the rarest windows are
+located and the partners counted from the intervals. For the pairs that remain backward search is carried on word by
+word inside the partner to its maximal matches, which are merged to spans and counts.
 """
 
 from __future__ import annotations
@@ -25,46 +26,67 @@ from corpusloom.session import spread, staged
 
 MIN_WORDS = 40
 WINDOW = 5
-SORT_WORDS = 8
 #: Words of one evaluation shard; a shard in use takes about 40 bytes a word.
-SHARD_WORDS = 3_000_000
-#: Training words held at once by a task.
-HOLD_WORDS = 6_000_000
+SHARD_WORDS = 300_000
+#: Training words searched at once in a shard; a shard with more is read by several tasks.
+HOLD_WORDS = 1_500_000
+#: Classes of windows whose counts over all evaluation texts order the windows; any order loses no pair.
+BUCKETS = 1 << 19
+_PARTS = 64
+
+
+# --- index ----------------------------------------------------------------------------------------------------
+
+
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of ``text`` by prefix doubling; after each round only the ties are sorted again."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    slot = np.arange(n)
+    new = np.ones(n, bool)
+    s = text[order]
+    new[1:] = s[1:] != s[:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, slot, 0))
+    k = 1
+    while True:
+        single = new & np.concatenate((new[1:], [True]))
+        tied = np.flatnonzero(~single)
+        if not len(tied):
+            return order
+        at = order[tied]
+        then = at + k
+        key = rank[at] * np.int64(n + 1) + np.where(then < n, rank[np.minimum(then, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        order[tied], key = at[by], key[by]
+        first = np.ones(len(tied), bool)
+        first[1:] = key[1:] != key[:-1]
+        new[tied] = first
+        rank[order[tied]] = np.maximum.accumulate(np.where(first, tied, 0))
+        k *= 2
 
 
-def build_index(h: np.ndarray, lens: np.ndarray, cls: np.ndarray) -> dict[str, np.ndarray]:
-    """Index of texts given as flat word hashes; symbol 0 ends each text."""
+def build_index(h: np.ndarray, lens: np.ndarray, cls: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """Index of texts given as flat word hashes; each text has an end mark of its own, so that no match passes an end."""
     vocab, sym = np.unique(h, return_inverse=True)
-    at = np.arange(len(h)) + np.repeat(np.arange(len(lens)), lens)
-    text = np.zeros(len(h) + len(lens), np.int64)
-    text[at] = sym + 1
-    doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens + 1)
-    rank, k, n = text, 1, len(text)
-    order = np.argsort(rank, kind="stable")
-    while True:
-        s = rank[order]
-        new = np.zeros(n, np.int64)
-        new[order] = np.cumsum(np.concatenate(([0], (s[1:] != s[:-1]).astype(np.int64))))
-        rank = new
-        if k >= SORT_WORDS:
-            break
-        after = np.zeros(n, np.int64)
-        after[:-k] = rank[k:] + 1
-        rank = rank * np.int64(n + 1) + after
-        order = np.argsort(rank, kind="stable")
-        k *= 2
-    before = text[order - 1]  # the Burrows-Wheeler transform
-    lists = np.argsort(before, kind="stable").astype(np.uint32)
-    first = np.searchsorted(before[lists], np.arange(len(vocab) + 2)).astype(np.int64)
-    seq, of = sequences(h, lens, WINDOW)
-    seq, of, sizes = distinct_in_text(seq, of, len(lens))
-    return {"vocab": vocab, "lists": lists, "first": first, "doc": doc[order], "cls": cls.astype(np.int64), "sets": (seq >> np.uint64(32)).astype(np.uint32), "sizes": sizes}
+    d = len(lens)
+    at = np.arange(len(h)) + np.repeat(np.arange(d), lens)
+    text = np.zeros(len(h) + d, np.int64)
+    text[at] = sym + d
+    text[np.cumsum(lens) + np.arange(d)] = np.arange(d)
+    doc = np.repeat(np.arange(d, dtype=np.int32), lens + 1)
+    order = suffix_order(text)
+    before = np.maximum(text[order - 1] - d + 1, 0)  # the Burrows-Wheeler transform: 0 for any end mark
+    lists = np.argsort(before, kind="stable")
+    counts = np.bincount(before, minlength=len(vocab) + 1)
+    return {"vocab": vocab, "lists": lists, "counts": counts, "doc": doc[order], "cls": cls.astype(np.int64), "sizes": sizes.astype(np.int64)}
 
 
 def pack(index: dict[str, np.ndarray]) -> bytes:
     out = io.BytesIO()
     x = dict(index)
-    x["lists"] = np.diff(x["lists"].astype(np.int64), prepend=0).astype(np.int32)  # small steps inside a symbol's list
+    x["lists"] = np.diff(x["lists"], prepend=0).astype(np.int32)  # small steps inside a symbol's list
+    x["counts"] = x["counts"].astype(np.uint32)
     np.savez(out, **x)
     return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
 
@@ -72,9 +94,10 @@ def pack(index: dict[str, np.ndarray]) -> bytes:
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
     x = dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))))
     lists = np.cumsum(x.pop("lists").astype(np.int64)).astype(np.uint64)
-    symbol = np.repeat(np.arange(len(x["first"]) - 1, dtype=np.uint64), np.diff(x["first"]))
-    x["rank"] = (symbol << np.uint64(32)) | lists  # searching (c, i) gives first[c] + rank of c before i
-    x["starts"] = np.concatenate(([0], np.cumsum(x["sizes"])))
+    symbol = np.repeat(np.arange(len(x["counts"]), dtype=np.uint64), x["counts"])
+    x["rank"] = (symbol << np.uint64(32)) | lists  # searching (c, i) gives the rows before c's block + rank of c before i
+    doc = x["doc"].astype(np.uint64)
+    x["of"] = np.sort((doc << np.uint64(32)) | np.arange(len(doc), dtype=np.uint64))  # rows of each text
     return x
 
 
@@ -85,24 +108,15 @@ def symbols(x: dict, h: np.ndarray) -> np.ndarray:
     return np.where(x["vocab"][at] == h, at + 1, 0).astype(np.uint64)
 
 
-class Prepared:
-    """Training texts: their words by number, and the first place of each distinct window, text by text."""
+def before(x: dict, c: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One step of backward search: the row that ``row`` becomes when the symbol ``c`` is put before."""
+    return np.searchsorted(x["rank"], (c << np.uint64(32)) | row.astype(np.uint64))
+
 
-    def __init__(self, h: np.ndarray, lens: np.ndarray, cls: np.ndarray):
-        self.kinds, self.word = np.unique(h, return_inverse=True)
-        self.cls = cls
-        seq, doc = sequences(h, lens, WINDOW)
-        starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        at = np.arange(len(h)) - np.repeat(starts, lens)
-        place = np.flatnonzero(at < np.repeat(lens - WINDOW + 1, lens))
-        self.every, self.every_bound = (seq >> np.uint64(32)).astype(np.uint32), np.searchsorted(doc, np.arange(len(lens) + 1))
-        order = np.lexsort((seq, doc))  # stable: the first of equal windows comes first
-        s, d = seq[order], doc[order]
-        keep = np.ones(len(s), bool)
-        keep[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-        self.window, self.place = (s[keep] >> np.uint64(32)).astype(np.uint32), place[order][keep]
-        self.n = np.bincount(d[keep], minlength=len(lens))
-        self.bound = np.concatenate(([0], np.cumsum(self.n)))
+def holds(x: dict, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether the rows [lo, hi) have one of the text ``doc``."""
+    d = doc.astype(np.uint64) << np.uint64(32)
+    return np.searchsorted(x["of"], d | hi.astype(np.uint64)) > np.searchsorted(x["of"], d | lo.astype(np.uint64))
 
 
 def backward(x: dict, sym: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,173 +126,253 @@ def backward(x: dict, sym: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, n
     for k in range(WINDOW):
         alive &= sym[start + k] > 0
     live = np.flatnonzero(alive)
-    c = sym[start[live] + WINDOW - 1].astype(np.int64)
-    a, b = x["first"][c], x["first"][c + 1]
-    for k in range(WINDOW - 2, -1, -1):
-        c = sym[start[live] + k] << np.uint64(32)
-        low = c | a.astype(np.uint64)
-        order = np.argsort(low)  # in order, neighbouring searches touch the same part of the index; the upper ends have the same order
-        live, low = live[order], low[order]
-        b = np.searchsorted(x["rank"], c[order] | b[order].astype(np.uint64))
-        a = np.searchsorted(x["rank"], low)
+    a, b = np.zeros(len(live), np.int64), np.full(len(live), len(x["rank"]))
+    for k in range(WINDOW - 1, -1, -1):
+        c = sym[start[live] + k]
+        order = np.argsort((c << np.uint64(32)) | a.astype(np.uint64))  # in order, neighbouring searches touch the same part of the index
+        live, c, a, b = live[order], c[order], a[order], b[order]
+        a, b = before(x, c, a), before(x, c, b)
         ok = a < b
         live, a, b = live[ok], a[ok], b[ok]
     lo[live], hi[live] = a, b
     return lo, hi
 
 
-def spans(hit: np.ndarray) -> tuple[int, int]:
-    """Number of maximal spans and of words in them, from the windows of one text that are found."""
-    if not hit.any():
-        return 0, 0
-    edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    b = b + WINDOW - 1  # a run of windows covers so many words; runs that touch merge
-    merged = 1 + int((a[1:] > b[:-1]).sum()) if len(a) else 0
-    cover = np.zeros(len(hit) + WINDOW, np.int64)
-    np.add.at(cover, a, 1)
-    np.add.at(cover, b, -1)
-    return merged, int((np.cumsum(cover) > 0).sum())
-
-
-def stream(x: dict, t: Prepared, threshold: float):
-    """Partners (training class, evaluation class, likeness, spans, words) of training texts in one shard."""
-    need = np.ceil(threshold * t.n - 1e-9).astype(np.int64)
-    fits = (t.n >= threshold * x["sizes"].min() - 1e-9) & (t.n * threshold <= x["sizes"].max() + 1e-9)
-    rows = np.flatnonzero(np.repeat(fits, t.n))
-    lo, hi = np.zeros(len(t.place), np.int64), np.zeros(len(t.place), np.int64)
-    lo[rows], hi[rows] = backward(x, symbols(x, t.kinds)[t.word], t.place[rows])
-    found = np.concatenate(([0], np.cumsum(hi > lo)))
-    covered = found[t.bound[1:]] - found[t.bound[:-1]]
+def maximal_matches(x: dict, sym: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, start, end) of left-maximal matches of WINDOW words or more between the words [first, last) and the text ``doc``.
+
+    All pairs are extended side by side, word by word from their end; where a match can't be extended, the next begins
+    so that it may hold the word in the way. Together they cover all that maximal matches cover.
+    """
+    end = last - 1
+    pos, lo, hi = end.copy(), np.zeros(len(end), np.int64), np.full(len(end), len(x["rank"]))
+    live = np.flatnonzero(end - first >= WINDOW - 1)
     out = []
-    for d in np.flatnonzero(fits & (covered >= need) & (need > 0)):
-        s = slice(t.bound[d], t.bound[d + 1])
-        a, n = lo[s], hi[s] - lo[s]
-        order = np.argsort(n, kind="stable")[: t.n[d] - need[d] + 1]  # any partner has at least one of these
-        order = order[n[order] > 0]
-        hits = np.unique(x["doc"][np.concatenate([np.arange(a[k], a[k] + n[k]) for k in order])]) if len(order) else ()
-        mine = np.unique(t.window[s])
-        for e in hits:
-            size = x["sizes"][e]
-            if min(size, len(mine)) < threshold * max(size, len(mine)) - 1:
+    while len(live):
+        p = pos[live]
+        inside = p >= first[live]
+        c = np.where(inside, sym[np.maximum(p, 0)], np.uint64(0))
+        a, b = before(x, c, lo[live]), before(x, c, hi[live])
+        ok = (c > 0) & (a < b)
+        ok[ok] = holds(x, doc[live[ok]], a[ok], b[ok])
+        go = live[ok]
+        lo[go], hi[go] = a[ok], b[ok]
+        pos[go] -= 1
+        stop = live[~ok]
+        long = stop[end[stop] - pos[stop] >= WINDOW]
+        if len(long):
+            out.append((long, pos[long] + 1, end[long] + 1))
+        end[stop] = np.where(pos[stop] < first[stop], -1, np.minimum(end[stop] - 1, pos[stop] + WINDOW - 1))
+        pos[stop], lo[stop], hi[stop] = end[stop], 0, len(x["rank"])
+        live = live[end[live] - first[live] >= WINDOW - 1]
+    if not out:
+        return (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def merged(n: int, pair: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of ``n`` pairs: spans after overlapping matches are merged, and words in them."""
+    order = np.lexsort((a, pair))
+    pair, a, b = pair[order], a[order], b[order]
+    far = np.maximum.accumulate(b + pair * np.int64(1 << 40)) - pair * np.int64(1 << 40)  # farthest end so far in the pair
+    far = np.concatenate(([0], far[:-1]))
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (a[1:] > far[1:])
+    fresh = np.maximum(0, b - np.maximum(a, np.where(new, a, far)))
+    return np.bincount(pair[new], minlength=n), np.bincount(pair, fresh, minlength=n).astype(np.int64)
+
+
+def stream(x: dict, h: np.ndarray, lens: np.ndarray, cls: np.ndarray, threshold: float) -> pd.DataFrame:
+    """Partners (a, b, likeness, n_spans, n_words) of training texts, given as flat word hashes, in one shard."""
+    kinds, word = np.unique(h, return_inverse=True)
+    sym = symbols(x, kinds)[word]
+    starts = np.cumsum(lens) - lens
+    seq, doc = sequences(h, lens, WINDOW)
+    at = np.arange(len(h)) - np.repeat(starts, lens)
+    place = np.flatnonzero(at < np.repeat(lens - WINDOW + 1, lens))
+    order = np.lexsort((seq, doc))  # stable: the first of equal windows comes first
+    s, d = seq[order], doc[order]
+    keep = np.ones(len(s), bool)
+    keep[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+    place, d = place[order][keep], d[keep]
+    n = np.bincount(d, minlength=len(lens))
+    need = np.ceil(threshold * n - 1e-9).astype(np.int64)
+    lo, hi = backward(x, sym, place)
+    covered = np.bincount(d[hi > lo], minlength=len(lens))
+    bound = np.concatenate(([0], np.cumsum(n)))
+    ta, tb = [], []
+    for t in np.flatnonzero((covered >= need) & (need > 0)):
+        a, size = lo[bound[t] : bound[t + 1]], (hi - lo)[bound[t] : bound[t + 1]]
+        rare = np.argsort(size, kind="stable")[: n[t] - need[t] + 1]  # any partner has at least one of these
+        rare = rare[size[rare] > 0]
+        if len(rare):
+            hits = np.unique(x["doc"][np.repeat(a[rare] - np.concatenate(([0], np.cumsum(size[rare])[:-1])), size[rare]) + np.arange(int(size[rare].sum()))])
+            hits = hits[(x["sizes"][hits] >= threshold * n[t] - 1e-9) & (x["sizes"][hits] * threshold <= n[t] + 1e-9)]
+            ta.append(np.full(len(hits), t))
+            tb.append(hits.astype(np.int64))
+    names = ["a", "b", "likeness", "n_spans", "n_words"]
+    if not ta:
+        return pd.DataFrame({c: np.empty(0, np.float64 if c == "likeness" else np.int64) for c in names})
+    ta, tb = np.concatenate(ta), np.concatenate(tb)
+    both = np.zeros(len(ta), np.int64)
+    for k in range(0, len(ta), 2_000):  # windows that the partner has, counted from their intervals
+        t, e = ta[k : k + 2_000], tb[k : k + 2_000]
+        w = np.repeat(bound[t] - np.cumsum(n[t]) + n[t], n[t]) + np.arange(int(n[t].sum()))
+        of = np.repeat(np.arange(len(t)), n[t])
+        ok = hi[w] > lo[w]
+        w, of = w[ok], of[ok]
+        both[k : k + 2_000] = np.bincount(of[holds(x, e[of], lo[w], hi[w])], minlength=len(t))
+    like = both / (n[ta] + x["sizes"][tb] - both)
+    good = like >= threshold - 1e-12
+    ta, tb, like = ta[good], tb[good], like[good]
+    spans, covers = merged(len(ta), *maximal_matches(x, sym, starts[ta], starts[ta] + lens[ta], tb))
+    return pd.DataFrame(dict(zip(names, (cls[ta], x["cls"][tb], like, spans, covers))))
+
+
+# --- texts, shards and their meeting --------------------------------------------------------------------------
+
+
+def _members(batches):
+    """Class of each text, and for the first text of a class in a task its words and number of distinct windows."""
+    cache, seen = WordHashes(), set()
+    for pdf in sliced(batches):
+        ids, evs, cls, sizes, texts, new = [], [], [], [], [], []
+        for i, t, ev in zip(pdf["rec_id"], pdf["text"], pdf["ev"]):
+            w = words(t)
+            if len(w) < MIN_WORDS:
                 continue
-            theirs = np.unique(x["sets"][x["starts"][e] : x["starts"][e + 1]])
-            both = len(np.intersect1d(mine, theirs, assume_unique=True))
-            like = both / (len(mine) + len(theirs) - both)
-            if like >= threshold:
-                hit = np.isin(t.every[t.every_bound[d] : t.every_bound[d + 1]], theirs)
-                out.append((int(t.cls[d]), int(x["cls"][e]), like, *spans(hit)))
-    return out
-
-
-def _shard(batches):
-    """Index of the partition's texts, each class once; one row."""
-    cache, seen, hs, ls, cs = WordHashes(), set(), [], [], []
-    for pdf in batches:
-        new = [(c, t) for c, t in zip(pdf["cls"], pdf["text"]) if not (c in seen or seen.add(c))]
-        if new:
-            h, lens = flat_words([t for _, t in new], cache)
-            hs.append(h)
-            ls.append(lens)
-            cs.append(np.array([c for c, _ in new], np.int64))
-    if hs:
-        lens = np.concatenate(ls)
-        yield pd.DataFrame({"shortest": [int(lens.min())], "longest": [int(lens.max())], "words": [int(lens.sum())], "index": [pack(build_index(np.concatenate(hs), lens, np.concatenate(cs)))]})
-
-
-def _read_index(path: str) -> bytes:
-    import pyarrow.fs as fs
-    import pyarrow.parquet as pq
-
-    system, p = fs.FileSystem.from_uri(path)
-    return pq.read_table(p, filesystem=system, columns=["index"]).column(0)[0].as_py()
-
-
-def _stream_all(shards: list[str], threshold: float):
-    def run(batches):
-        cache, seen = WordHashes(), set()
+            c = class_of(w)
+            ids.append(i)
+            evs.append(ev)
+            cls.append(c)
+            sizes.append(len(w))
+            new.append((c, ev) not in seen)
+            if new[-1]:
+                seen.add((c, ev))
+                texts.append(w)
+        if not ids:
+            continue
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        h = (np.fromiter((cache[x] for w in texts for x in w), np.uint64, int(lens.sum())) >> np.uint64(32)).astype(np.uint32)
+        seq, doc = sequences(h.astype(np.uint64), lens, WINDOW)
+        _, _, n = distinct_in_text(seq, doc, len(lens))
+        blobs, counts, edge = [None] * len(ids), np.zeros(len(ids), np.int64), np.concatenate(([0], np.cumsum(lens)))
+        for k, j in enumerate(np.flatnonzero(new)):
+            blobs[j], counts[j] = h[edge[k] : edge[k + 1]].tobytes(), n[k]
+        yield pd.DataFrame({"rec_id": ids, "cls": cls, "ev": evs, "n_words": sizes, "n": counts, "words": blobs})
+
+
+def _flat(blobs) -> tuple[np.ndarray, np.ndarray]:
+    lens = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    return np.frombuffer(b"".join(blobs), np.uint32).astype(np.uint64), lens
+
+
+def _window_counts(batches):
+    """Counts of the windows of evaluation texts by class of window, a row for each part of the classes."""
+    total = np.zeros(BUCKETS, np.int64)
+    for pdf in sliced(batches):
+        if len(pdf):
+            seq, doc = sequences(*_flat(pdf["words"]), WINDOW)
+            seq, _, _ = distinct_in_text(seq, doc, len(pdf))
+            total += np.bincount((seq % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    if total.any():
+        yield pd.DataFrame({"part": np.arange(_PARTS), "counts": [x.astype("<i8").tobytes() for x in np.split(total, _PARTS)]})
+
 
-        def flush(hs, ls, cs):
-            t = Prepared(np.concatenate(hs), np.concatenate(ls), np.concatenate(cs))
-            for path in shards:
-                out = stream(unpack(_read_index(path)), t, threshold)
-                if out:
-                    yield pd.DataFrame(out, columns=["a", "b", "likeness", "n_spans", "n_words"])
+def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, "<i8") for x in pdf["counts"])
+    return pd.DataFrame({"part": pdf["part"][:1], "counts": [total.tobytes()]})
 
-        hs, ls, cs, held = [], [], [], 0
+
+def _rare_windows(counts: np.ndarray, threshold: float):
+    """Rows (key, cls, n): the windows of a text of which a partner must have one, the rarest of them."""
+
+    def run(batches):
         for pdf in sliced(batches):
-            texts, cls = [], []
-            for t in pdf["text"]:
-                w = words(t)
-                if len(w) >= MIN_WORDS and (c := class_of(w)) not in seen:
-                    seen.add(c)
-                    texts.append(t)
-                    cls.append(c)
-            if texts:
-                h, lens = flat_words(texts, cache)
-                hs.append(h)
-                ls.append(lens)
-                cs.append(np.array(cls, np.int64))
-                held += len(h)
-            if held > HOLD_WORDS:
-                yield from flush(hs, ls, cs)
-                hs, ls, cs, held = [], [], [], 0
-        if hs:
-            yield from flush(hs, ls, cs)
+            if not len(pdf):
+                continue
+            seq, doc = sequences(*_flat(pdf["words"]), WINDOW)
+            seq, doc, n = distinct_in_text(seq, doc, len(pdf))
+            order = np.lexsort((seq, counts[(seq % np.uint64(BUCKETS)).astype(np.int64)], doc))
+            place = np.arange(len(seq)) - np.repeat(np.cumsum(n) - n, n)
+            keep = place <= np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64), n)
+            at = order[keep]
+            d = doc[at]
+            yield pd.DataFrame({"key": seq[at].view(np.int64), "cls": pdf["cls"].to_numpy(np.int64)[d], "n": n[d]})
 
     return run
 
 
+def _index_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.drop_duplicates("cls")
+    h, lens = _flat(pdf["words"])
+    return pd.DataFrame({"shard": pdf["shard"][:1], "index": [pack(build_index(h, lens, pdf["cls"].to_numpy(), pdf["n"].to_numpy()))]})
+
+
+def _search_shard(threshold: float):
+    def run(texts: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts) or not len(index):
+            return pd.DataFrame({c: np.empty(0, np.float64 if c == "likeness" else np.int64) for c in ("a", "b", "likeness", "n_spans", "n_words")})
+        texts = texts.drop_duplicates("cls")
+        return stream(unpack(index["index"].iloc[0]), *_flat(texts["words"]), texts["cls"].to_numpy(), threshold)
+
+    return run
+
+
+_FOUND = "a long, b long, likeness double, n_spans long, n_words long"
+
+
+def overlapping_classes(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), threshold: float = 0.7, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(members: rec_id, cls, ev) and (pairs of classes: a of training, b of evaluation, likeness, n_spans, n_words).
+
+    A class is a word sequence. No pair of classes of likeness ``threshold`` or more is lost; null, empty and short
+    texts (under 40 words) and records of other or null splits are in neither. Training work is proportional to the
+    training texts and to the meetings of their rarest windows with shards, not to the number of shards.
+    """
+    spark = df.sparkSession
+    t = spread(df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).alias("text"), F.col(split_col).alias("split")))
+    t = t.where(F.col("text").isNotNull() & F.col("split").isin(train, *evaluation)).select("rec_id", "text", (F.col("split") != train).alias("ev"))
+    base = staged(t.mapInPandas(_members, "rec_id long, cls long, ev boolean, n_words long, n long, words binary"), "members")
+    texts = base.where("words is not null")
+    ev, tr = texts.where("ev"), texts.where("not ev")
+    members = base.select("rec_id", "cls", "ev")
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / threshold)).cast("int")  # partners lie in neighbouring bands
+    bands = ev.groupBy(band.alias("band")).agg(F.sum("n_words").alias("w")).collect()  # a row for each doubling of the size, about
+    if not bands:
+        return members, spark.createDataFrame([], _FOUND)
+    parts = F.create_map(*[F.lit(int(v)) for r in bands for v in (r["band"], max(1, math.ceil(r["w"] / shard_words)))])
+    shard = band.cast("long") * 1_000_000 + F.pmod(F.xxhash64("cls"), parts[band])
+    ev = ev.withColumn("shard", shard)
+    index = ev.select("shard", "cls", "n", "words").groupBy("shard").applyInPandas(_index_shard, "shard long, index binary")
+    index = staged(index, "index")
+    sums = ev.select("words").mapInPandas(_window_counts, "part int, counts binary").groupBy("part").applyInPandas(_sum_counts, "part int, counts binary")
+    counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sums.orderBy("part").collect()])  # BUCKETS numbers
+    counts = np.minimum(counts, 2**31 - 1).astype(np.int32)
+    keys = lambda x: x.select("cls", "words").mapInPandas(_rare_windows(counts, threshold), "key long, cls long, n long")
+    of_shards = keys(ev).select("key", band.alias("b"), shard.alias("shard")).distinct()
+    meet = keys(tr).withColumn("band", band).join(of_shards, "key").where(F.abs(F.col("band") - F.col("b")) <= 1)
+    routed = staged(meet.select("cls", "shard").distinct(), "routes")
+    sent = routed.join(tr.select("cls", "words"), "cls")
+    load = sent.groupBy("shard").agg(F.sum(F.length("words") / 4).alias("w")).select("shard", F.ceil(F.col("w") / HOLD_WORDS).alias("k"))
+    load = staged(load, "load")
+    sent = sent.join(load, "shard").select("shard", F.pmod(F.xxhash64("cls"), F.col("k")).alias("part"), "cls", "words")
+    at = index.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("part"), "index")
+    found = sent.groupBy("shard", "part").cogroup(at.groupBy("shard", "part")).applyInPandas(_search_shard(threshold), _FOUND)
+    return members, staged(found.dropDuplicates(["a", "b"]), "overlaps")
+
+
 def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), threshold: float = 0.7, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Pairs (train_id, eval_id, likeness, n_spans, n_words) of a training and an evaluation record of likeness ``threshold`` or more.
 
-    ``n_spans`` and ``n_words`` count the maximal spans of the training text that the evaluation text has too. Null,
-    empty and short texts (under 40 words) and records of other or null splits have no partner. Copies are indexed
-    and streamed once; pairs of classes of more than 10,000 record pairs come as stars. Training work is proportional
-    to training words times evaluation shards.
+    ``n_spans`` and ``n_words`` count the merged matches of the training text in the evaluation text. Null, empty and short texts (under 40 words) and records of other or null splits have no
+    partner. Copies are indexed and streamed once. Pairs of classes of more than EXPAND_LIMIT record pairs come as
+    stars; ``overlapping_classes`` has them exactly.
     """
-    t = spread(df.select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text"), F.col(split_col).alias("split")).where("text is not null"))
-    ev = t.where(F.col("split").isin(*evaluation))
-    tr = t.where(F.col("split") == train)
-    members = staged(
-        t.where(F.col("split").isin(train, *evaluation)).select("rec_id", "text", F.col("split") != train).mapInPandas(_members, "rec_id long, cls long, n_words long, ev boolean"),
-        "members",
-    )
-    total = members.where("ev").agg(F.sum("n_words")).first()[0]
-    spark = df.sparkSession
-    if not total:
-        return spark.createDataFrame([], "train_id long, eval_id long, likeness double, n_spans int, n_words int")
-    n = max(1, math.ceil(total / shard_words))
-    keyed = ev.select("text", F.length("text").alias("size")).mapInPandas(_keyed, "cls long, text string, size long")
-    shards = staged(keyed.repartitionByRange(n, "size", "cls").mapInPandas(_shard, "shortest int, longest int, words long, index binary"), "index")
-    paths = [r[0] for r in shards.select(F.col("_metadata.file_path"), "words").where("words > 0").distinct().collect()]
-    found = staged(tr.select("text").mapInPandas(_stream_all(sorted(paths), threshold), "a long, b long, likeness double, n_spans int, n_words int").dropDuplicates(["a", "b"]), "overlaps")
+    members, found = overlapping_classes(df, id_col, text_col, split_col, train, evaluation, threshold, shard_words)
     pairs = expand(found, members.where("not ev").select("cls", "rec_id"), members.where("ev").select("cls", "rec_id"))
     return pairs.select(F.col("l").alias("train_id"), F.col("r").alias("eval_id"), "likeness", "n_spans", "n_words")
 
 
-def _members(batches):
-    for pdf in sliced(batches):
-        pdf.columns = ["rec_id", "text", "ev"]
-        ids, cls, n, ev = [], [], [], []
-        for i, t, e in zip(pdf["rec_id"], pdf["text"], pdf["ev"]):
-            w = words(t)
-            if len(w) >= MIN_WORDS:
-                ids.append(i)
-                cls.append(class_of(w))
-                n.append(len(w))
-                ev.append(e)
-        if ids:
-            yield pd.DataFrame({"rec_id": ids, "cls": cls, "n_words": n, "ev": ev})
-
-
-def _keyed(batches):
-    for pdf in batches:
-        rows = [(class_of(w), t, s) for t, s in zip(pdf["text"], pdf["size"]) if len(w := words(t)) >= MIN_WORDS]
-        if rows:
-            yield pd.DataFrame(rows, columns=["cls", "text", "size"])
-
-
 def overlap_counts(pairs: DataFrame, df: DataFrame, id_col: str, split_col: str, source_col: str) -> DataFrame:
     """Pairs and records that overlap, for each evaluation split and source (null sources are a group of their own)."""
     ev = df.select(F.col(id_col).alias("eval_id"), F.col(split_col).alias("split"), F.col(source_col).alias("source"))

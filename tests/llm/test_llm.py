@@ -49,7 +49,7 @@ def test_near_duplicates(spark):
 def test_copies_come_as_a_star(spark):
     t = collection(2, 4)[0]
     rows = [(k, t) for k in range(250)] + [(900, " ".join([*t.split()[:-1], "annet"])), (901, t + " mer")]
-    got = near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "rec_id long, text string"), "rec_id", "text").collect()
+    got = near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "rec_id long, text string"), "rec_id", "text", limit=10_000).collect()
     linked = {x for r in got for x in r}
     assert linked == {r[0] for r in rows} and len(got) < 2000
 
@@ -70,6 +70,55 @@ def test_split_overlap(spark, shard_words):
     assert split_overlap.cross_split_overlaps(df.where("split = 'train'"), "rec_id", "text", "split").count() == 0
 
 
+def matches(a, b):
+    """Words of ``a`` in maximal common runs of five or more words with ``b``: merged spans and words."""
+    x, y = words(a), words(b)
+    inside = {tuple(y[i:j]) for i in range(len(y)) for j in range(i + 5, len(y) + 1)}
+    cover = [False] * len(x)
+    spans = []
+    for i in range(len(x)):
+        j = i + 5
+        while j <= len(x) and tuple(x[i:j]) in inside:
+            j += 1
+        if j - 1 >= i + 5:
+            spans.append((i, j - 1))
+    runs, far = 0, -1
+    for i, j in spans:
+        runs += i > far
+        far = max(far, j)
+        cover[i:j] = [True] * (j - i)
+    return runs, sum(cover)
+
+
+def test_maximal_matches(spark):
+    rng = random.Random(13)
+    base = ["w%d" % rng.randrange(25) for _ in range(90)]
+    rows = []
+    for k in range(40):
+        w = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            i = rng.randrange(60)
+            w[i : i + rng.randrange(3)] = ["x%d" % rng.randrange(9) for _ in range(rng.randrange(3))]
+        if k % 5 == 0:  # another order
+            w = w[45:] + w[:45]
+        rows.append((k, " ".join(w), "train" if k % 2 else "test"))
+    df = spark.createDataFrame(rows, "rec_id long, text string, split string")
+    got = split_overlap.cross_split_overlaps(df, "rec_id", "text", "split", shard_words=400).collect()
+    assert len(got) > 50
+    for r in got:
+        assert (r["n_spans"], r["n_words"]) == matches(rows[r["train_id"]][1], rows[r["eval_id"]][1])
+
+
+def test_suffix_order():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 60):
+        for kinds in (1, 2, 5):
+            t = rng.integers(0, kinds, n)
+            assert split_overlap.suffix_order(t).tolist() == sorted(range(n), key=lambda k: t[k:].tolist())
+
+
 def test_cut_is_a_round_trip():
     rng = random.Random(4)
     parts = ["ord ", "setning slutter. ", "linje\n", "avsnitt\n\n", "x" * 90, "🐾́", "\r\n", "\xa0"]
