@@ -2,9 +2,10 @@
 
 Method: compressed full-text index of evaluation shards. The distinct evaluation texts are cut into shards of close
 size; each shard is a word-level index (Burrows-Wheeler order of all suffixes, position lists for rank, the text of
-each row). A training text is streamed only through the shards that can hold a partner: texts of the threshold's
-likeness have one of their rarest windows in common, so training texts and shards meet on those windows. Backward
-search gives the interval of each window; a text covered too little is out, of the others the rarest windows are
+each row). A training text is streamed only through the shards that can hold a partner: an exchange of windows by
+their hash tells in how many evaluation texts each stands; a training text too few of whose windows stand in any has
+no partner, and as texts of the threshold's likeness have one of their rarest windows in common, the others meet the
+shards on those. Backward search gives the interval of each window; a text covered too little is out, of the others the rarest windows are
 located and the partners counted from the intervals. For the pairs that remain backward search is carried on word by
 word inside the partner to its maximal matches, which are merged to spans and counts.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import io
 import math
+import secrets
 
 import numpy as np
 import pandas as pd
@@ -30,9 +32,8 @@ WINDOW = 5
 SHARD_WORDS = 300_000
 #: Training words searched at once in a shard; a shard with more is read by several tasks.
 HOLD_WORDS = 1_500_000
-#: Classes of windows whose counts over all evaluation texts order the windows; any order loses no pair.
-BUCKETS = 1 << 19
-_PARTS = 64
+#: Windows of one part of the exchange that tells how many evaluation texts have a window.
+PART_WINDOWS = 1_000_000
 
 
 # --- index ----------------------------------------------------------------------------------------------------
@@ -233,76 +234,106 @@ def stream(x: dict, h: np.ndarray, lens: np.ndarray, cls: np.ndarray, threshold:
 
 
 def _members(batches):
-    """Class of each text, and for the first text of a class in a task its words and number of distinct windows."""
+    """Class of each text; the first row of a frame also has the frame's slice: the words of the texts that are new in the task."""
     cache, seen = WordHashes(), set()
     for pdf in sliced(batches):
-        ids, evs, cls, sizes, texts, new = [], [], [], [], [], []
-        for i, t, ev in zip(pdf["rec_id"], pdf["text"], pdf["ev"]):
-            w = words(t)
-            if len(w) < MIN_WORDS:
+        for ev in (True, False):
+            ids, cls, texts, new = [], [], [], []
+            part = pdf[pdf["ev"] == ev]
+            for i, t in zip(part["rec_id"], part["text"]):
+                w = words(t)
+                if len(w) < MIN_WORDS:
+                    continue
+                c = class_of(w)
+                ids.append(i)
+                cls.append(c)
+                if (c, ev) not in seen:
+                    seen.add((c, ev))
+                    new.append(c)
+                    texts.append(w)
+            if not ids:
                 continue
-            c = class_of(w)
-            ids.append(i)
-            evs.append(ev)
-            cls.append(c)
-            sizes.append(len(w))
-            new.append((c, ev) not in seen)
-            if new[-1]:
-                seen.add((c, ev))
-                texts.append(w)
-        if not ids:
-            continue
-        lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        h = (np.fromiter((cache[x] for w in texts for x in w), np.uint64, int(lens.sum())) >> np.uint64(32)).astype(np.uint32)
-        seq, doc = sequences(h.astype(np.uint64), lens, WINDOW)
-        _, _, n = distinct_in_text(seq, doc, len(lens))
-        blobs, counts, edge = [None] * len(ids), np.zeros(len(ids), np.int64), np.concatenate(([0], np.cumsum(lens)))
-        for k, j in enumerate(np.flatnonzero(new)):
-            blobs[j], counts[j] = h[edge[k] : edge[k + 1]].tobytes(), n[k]
-        yield pd.DataFrame({"rec_id": ids, "cls": cls, "ev": evs, "n_words": sizes, "n": counts, "words": blobs})
+            lens = np.fromiter(map(len, texts), np.int64, len(texts))
+            h = (np.fromiter((cache[x] for w in texts for x in w), np.uint64, int(lens.sum())) >> np.uint64(32)).astype(np.uint32)
+            rest = [None] * (len(ids) - 1)
+            yield pd.DataFrame({
+                "rec_id": ids, "cls": cls, "ev": ev, "size": [len(h), *[0] * len(rest)],
+                "slice": [secrets.randbits(62), *rest] if texts else [None, *rest],
+                "words": [h.tobytes() if texts else None, *rest], "lens": [lens.astype(np.int32).tobytes() if texts else None, *rest], "of": [np.array(new, np.int64).tobytes() if texts else None, *rest],
+            }).astype({"slice": "Int64"})
 
 
-def _flat(blobs) -> tuple[np.ndarray, np.ndarray]:
-    lens = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-    return np.frombuffer(b"".join(blobs), np.uint32).astype(np.uint64), lens
+def _slice(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their numbers, and the distinct windows of each text of a slice with their text's number; texts' numbers of windows."""
+    h, lens = np.frombuffer(row["words"], np.uint32), np.frombuffer(row["lens"], np.int32).astype(np.int64)
+    return h, lens, *distinct_in_text(*sequences(h.astype(np.uint64), lens, WINDOW), len(lens))
 
 
-def _window_counts(batches):
-    """Counts of the windows of evaluation texts by class of window, a row for each part of the classes."""
-    total = np.zeros(BUCKETS, np.int64)
-    for pdf in sliced(batches):
-        if len(pdf):
-            seq, doc = sequences(*_flat(pdf["words"]), WINDOW)
-            seq, _, _ = distinct_in_text(seq, doc, len(pdf))
-            total += np.bincount((seq % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    if total.any():
-        yield pd.DataFrame({"part": np.arange(_PARTS), "counts": [x.astype("<i8").tobytes() for x in np.split(total, _PARTS)]})
+def _ask(bits: int):
+    """Rows (part, slice, ev, w, c): the distinct windows of each slice by the first bits of their hash, 32 bits of each, and
+    in how many of the slice's texts they stand."""
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                u, c = np.unique(_slice(row)[2], return_counts=True)
+                part = (u >> np.uint64(64 - bits)).astype(np.int64)
+                edge = np.searchsorted(part, np.arange((1 << bits) + 1))
+                w, c = ((u >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(c, 255).astype(np.uint8)
+                some = np.flatnonzero(np.diff(edge))
+                yield pd.DataFrame({"part": some, "slice": row["slice"], "ev": row["ev"], "w": [w[edge[p] : edge[p + 1]].tobytes() for p in some], "c": [c[edge[p] : edge[p + 1]].tobytes() for p in some]})
 
+    return run
 
-def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, "<i8") for x in pdf["counts"])
-    return pd.DataFrame({"part": pdf["part"][:1], "counts": [total.tobytes()]})
 
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For the windows of each row a byte: a level of their number of evaluation texts (0: none), and the top bit if training has them."""
+    w = np.frombuffer(b"".join(pdf["w"]), np.uint32)
+    c = np.frombuffer(b"".join(pdf["c"]), np.uint8)
+    size = pdf["w"].map(len).to_numpy() // 4
+    ev = np.repeat(pdf["ev"].to_numpy(bool), size)
+    kinds, at = np.unique(w, return_inverse=True)
+    n = np.bincount(at, np.where(ev, c, 0), minlength=len(kinds))
+    trained = np.zeros(len(kinds), bool)
+    trained[at[~ev]] = True
+    level = np.where(n > 0, np.minimum(127, 1 + 4 * np.log2(np.maximum(n, 1))), 0).astype(np.uint8) | (trained.astype(np.uint8) << np.uint8(7))
+    said, edge = level[at].tobytes(), np.concatenate(([0], np.cumsum(size))).tolist()
+    return pd.DataFrame({"slice": pdf["slice"], "part": pdf["part"], "said": [said[a:b] for a, b in zip(edge, edge[1:])]})
 
-def _rare_windows(counts: np.ndarray, threshold: float):
-    """Rows (key, cls, n): the windows of a text of which a partner must have one, the rarest of them."""
 
-    def run(batches):
-        for pdf in sliced(batches):
-            if not len(pdf):
-                continue
-            seq, doc = sequences(*_flat(pdf["words"]), WINDOW)
-            seq, doc, n = distinct_in_text(seq, doc, len(pdf))
-            order = np.lexsort((seq, counts[(seq % np.uint64(BUCKETS)).astype(np.int64)], doc))
+def _meet(threshold: float):
+    """Texts (words not null) and the windows on which they can meet a partner (key not null).
+
+    A training text of which too few windows stand in any evaluation text has no partner and is left out. Windows are
+    ordered by their level, rare first; of two texts of enough likeness each has one of the other's first ones.
+    """
+
+    def run(slices: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"key": pd.array([], "Int64"), "cls": np.empty(0, np.int64), "n": np.empty(0, np.int64), "ev": np.empty(0, bool), "words": []})]
+        for row in slices.to_dict("records"):
+            h, lens, seq, doc, n = _slice(row)
+            cls, edge = np.frombuffer(row["of"], np.int64), np.concatenate(([0], np.cumsum(lens)))
+            _, at = np.unique(seq, return_inverse=True)
+            byte = np.frombuffer(b"".join(said.sort_values("part")["said"]), np.uint8)[at]
+            level, both = byte & np.uint8(127), byte > 128
+            first = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            mine = np.ones(len(n), bool) if row["ev"] else np.bincount(doc[level > 0], minlength=len(n)) > n - first
+            order = np.lexsort((seq, level, doc))
             place = np.arange(len(seq)) - np.repeat(np.cumsum(n) - n, n)
-            keep = place <= np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64), n)
-            at = order[keep]
-            d = doc[at]
-            yield pd.DataFrame({"key": seq[at].view(np.int64), "cls": pdf["cls"].to_numpy(np.int64)[d], "n": n[d]})
+            keep = order[(place < np.repeat(first, n)) & mine[doc] & both[order]]
+            t = np.flatnonzero(mine)
+            out.append(pd.DataFrame({"key": pd.array([None] * len(t), "Int64"), "cls": cls[t], "n": n[t], "ev": row["ev"], "words": [h[edge[k] : edge[k + 1]].tobytes() for k in t]}))
+            out.append(pd.DataFrame({"key": pd.array(seq[keep].view(np.int64), "Int64"), "cls": cls[doc[keep]], "n": n[doc[keep]], "ev": row["ev"], "words": None}))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
 
+def _flat(blobs) -> tuple[np.ndarray, np.ndarray]:
+    lens = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    return np.frombuffer(b"".join(blobs), np.uint32).astype(np.uint64), lens
+
+
 def _index_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.drop_duplicates("cls")
     h, lens = _flat(pdf["words"])
@@ -332,29 +363,26 @@ def overlapping_classes(df: DataFrame, id_col: str, text_col: str, split_col: st
     spark = df.sparkSession
     t = spread(df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).alias("text"), F.col(split_col).alias("split")))
     t = t.where(F.col("text").isNotNull() & F.col("split").isin(train, *evaluation)).select("rec_id", "text", (F.col("split") != train).alias("ev"))
-    base = staged(t.mapInPandas(_members, "rec_id long, cls long, ev boolean, n_words long, n long, words binary"), "members")
-    texts = base.where("words is not null")
-    ev, tr = texts.where("ev"), texts.where("not ev")
+    base = staged(t.mapInPandas(_members, "rec_id long, cls long, ev boolean, size long, slice long, words binary, lens binary, of binary"), "members")
     members = base.select("rec_id", "cls", "ev")
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / threshold)).cast("int")  # partners lie in neighbouring bands
-    bands = ev.groupBy(band.alias("band")).agg(F.sum("n_words").alias("w")).collect()  # a row for each doubling of the size, about
-    if not bands:
+    total = base.agg(F.sum("size"), F.max("ev")).first()
+    if not total[0] or not total[1]:
         return members, spark.createDataFrame([], _FOUND)
-    parts = F.create_map(*[F.lit(int(v)) for r in bands for v in (r["band"], max(1, math.ceil(r["w"] / shard_words)))])
-    shard = band.cast("long") * 1_000_000 + F.pmod(F.xxhash64("cls"), parts[band])
-    ev = ev.withColumn("shard", shard)
-    index = ev.select("shard", "cls", "n", "words").groupBy("shard").applyInPandas(_index_shard, "shard long, index binary")
-    index = staged(index, "index")
-    sums = ev.select("words").mapInPandas(_window_counts, "part int, counts binary").groupBy("part").applyInPandas(_sum_counts, "part int, counts binary")
-    counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sums.orderBy("part").collect()])  # BUCKETS numbers
-    counts = np.minimum(counts, 2**31 - 1).astype(np.int32)
-    keys = lambda x: x.select("cls", "words").mapInPandas(_rare_windows(counts, threshold), "key long, cls long, n long")
-    of_shards = keys(ev).select("key", band.alias("b"), shard.alias("shard")).distinct()
-    meet = keys(tr).withColumn("band", band).join(of_shards, "key").where(F.abs(F.col("band") - F.col("b")) <= 1)
-    routed = staged(meet.select("cls", "shard").distinct(), "routes")
-    sent = routed.join(tr.select("cls", "words"), "cls")
-    load = sent.groupBy("shard").agg(F.sum(F.length("words") / 4).alias("w")).select("shard", F.ceil(F.col("w") / HOLD_WORDS).alias("k"))
-    load = staged(load, "load")
+    bits = min(24, max(4, math.ceil(math.log2(total[0] / PART_WINDOWS))))
+    slices = base.where("slice is not null").select("slice", "ev", "words", "lens", "of")
+    said = slices.drop("of").mapInPandas(_ask(bits), "part long, slice long, ev boolean, w binary, c binary").groupBy("part").applyInPandas(_answer, "slice long, part long, said binary")
+    met = slices.groupBy("slice").cogroup(said.groupBy("slice")).applyInPandas(_meet(threshold), "key long, cls long, n long, ev boolean, words binary")
+    met = staged(met, "met")
+    ev, tr = met.where("ev"), met.where("not ev")
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / threshold)).cast("int")  # partners lie in neighbouring bands
+    sizes = ev.where("words is not null").groupBy(band.alias("band")).agg(F.sum(F.length("words") / 4).alias("w")).collect()  # a row for each doubling of the size, about
+    parts = F.create_map(*[F.lit(int(v)) for r in sizes for v in (r["band"], max(1, math.ceil(r["w"] / shard_words)))])
+    shard = (band.cast("long") * 1_000_000 + F.pmod(F.xxhash64("cls"), parts[band])).alias("shard")
+    index = ev.where("words is not null").select(shard, "cls", "n", "words").groupBy("shard").applyInPandas(_index_shard, "shard long, index binary")
+    of_shards = ev.where("key is not null").select("key", band.alias("b"), shard).distinct()
+    meet = tr.where("key is not null").select("key", "cls", band.alias("band")).join(of_shards, "key").where(F.abs(F.col("band") - F.col("b")) <= 1)
+    sent = staged(meet.select("cls", "shard").distinct().join(tr.where("words is not null").select("cls", "words"), "cls"), "sent")
+    load = sent.groupBy("shard").agg(F.ceil(F.sum(F.length("words") / 4) / HOLD_WORDS).alias("k"))
     sent = sent.join(load, "shard").select("shard", F.pmod(F.xxhash64("cls"), F.col("k")).alias("part"), "cls", "words")
     at = index.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("part"), "index")
     found = sent.groupBy("shard", "part").cogroup(at.groupBy("shard", "part")).applyInPandas(_search_shard(threshold), _FOUND)
