@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import staged
+from corpusloom.session import staged, unstage
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """One row (``node``, ``component``) for each node of ``edges``; the component's id is its smallest node.
 
     Nulls are dropped, loops and repeated edges count once, an empty table gives an empty one. Each round is
@@ -19,13 +19,14 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     nodes = e
     e = e.where("u <> v")
     last = None
-    for _ in range(max_rounds):
+    while True:  # ends: every round but the last lowers some node's label
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = staged(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+        e, before = staged(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"), e
+        unstage(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == last:
             break

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_WIDE = re.compile(r"^[\W\d]*(?:Join|Aggregate|Distinct|Window|Sort|Repartition\w*|Intersect|Except|GlobalLimit)\b", re.M)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +52,23 @@ def hash_sample(df: DataFrame, key: str, rows: int, total: int | None = None) ->
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores: a table in one row group is otherwise one task's work."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    return df.repartition(n) if _partitions(df, n) < n else df
+
+
+def _partitions(df: DataFrame, enough: int) -> int:
+    """Partitions of a scan; a plan that shuffles counts as enough, as asking it would run its shuffles."""
+    return enough if _WIDE.search(df._jdf.queryExecution().optimizedPlan().toString()) else df.rdd.getNumPartitions()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one is set only where none is (tests)."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    A temporary one is set only where none is and all tasks run in this process (tests); on a cluster that is an error.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -71,14 +83,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove the table of a DataFrame that ``staged`` returned; nothing for any other."""
+    if path := getattr(df, "_staged_at", None):
+        _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     def drop() -> None:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone by then
             pass
 
