@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.wordkit import WORD, sliced
-from corpusloom.session import spread
+from corpusloom.session import spread, staged
 
 LANGS = ("nb", "nn", "en", "sv", "da", "de", "pl")
 #: Labelled documents from which the likelihoods are counted, chosen by hash.
@@ -254,10 +254,12 @@ def judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, host_cols:
     Null and blank texts have none.
     """
     model = train(sample(df, id_col, text_col, lang_col))
-    priors = host_priors(df, lang_col, host_cols)
-    t = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label(F.col(lang_col)).alias("code"), *host_cols).where("text is not null")
-    on = [t[c].eqNullSafe(priors[c]) for c in host_cols]
-    t = spread(t.join(priors, on).select("id", "text", "code", "prior"))
+    hosts = [F.col(c).alias(f"_h{k}") for k, c in enumerate(host_cols)]
+    priors = staged(host_priors(df, lang_col, host_cols).select(*hosts, "prior"), "priors")  # of known size: Spark broadcasts it if it is small
+    t = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label(F.col(lang_col)).alias("code"), *[F.col(c).alias(f"_t{k}") for k, c in enumerate(host_cols)]).where("text is not null")
+    t = spread(t)  # the scan, not the join
+    on = [F.col(f"_t{k}").eqNullSafe(F.col(f"_h{k}")) for k in range(len(host_cols))]
+    t = t.join(priors, on).select("id", "text", "code", "prior")
     judge = _judge(model)
     if by_passage:  # a frame holds whole documents
         return t.mapInPandas(lambda batches: map(_runs, judge(batches)), _PASSAGES)
