@@ -65,7 +65,8 @@ def p4_found(spark, d):
 
 
 def p4_clean(spark, d):
-    return residue.without_residue(table(spark, d, "combined_data"), "rec_id", "text_input").drop("output")
+    out = residue.without_residue(table(spark, d, "combined_data"), "rec_id", "text_input")
+    return out.withColumn("output", F.to_json("output"))
 
 
 def p4_validation(spark, d):

@@ -8,6 +8,7 @@ split, and the model is validated on hosts it has not seen. The classifier then
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,14 +31,14 @@ SEED = 11
 
 # Weak labels.
 WEAK = {
-    "slot": r"\{\{[^{}\n]{0,60}\}\}|\{%[^%\n]{0,60}%\}|[$#]\{[^{}\n]{1,40}\}|\{[A-Za-zÆØÅæøå_. ]{2,30}\}|%[A-ZÆØÅ_]{3,24}%|&lt;[A-Za-zæøå_ ]{2,24}&gt;|<[A-Za-zæøå_]{2,24}>|\[(?:TODO|[Ss]ett inn|[Ff]yll inn|[Ii]nsert)[^\]\n]{0,40}\]|\[[A-ZÆØÅa-zæøå ]{2,30} her\]|\[[A-ZÆØÅ_]{3,24}\](?!\()|\((?:fyll|sett) inn [^)\n]{1,30}\)|«[A-ZÆØÅ][a-zæøå]+»(?=,| og følges| til oss|$|\n)|\bX{4,}\b|\.{6,}|_{5,}|(?<![\w.])N\.N\.|\bnull null\b|\bundefined\b",
+    "slot": r"__[A-ZÆØÅ][A-ZÆØÅa-zæøå ]{1,24}__|@@[A-ZÆØÅ_]{3,24}@@|##[A-ZÆØÅ_]{3,24}##|<%[^%\n]{0,60}%>|\[\[[^\[\]\n]{2,40}\]\]|\{\{[^{}\n]{0,60}\}\}|\{%[^%\n]{0,60}%\}|[$#]\{[^{}\n]{1,40}\}|\{[A-Za-zÆØÅæøå_. ]{2,30}\}|%[A-ZÆØÅ_]{3,24}%|&lt;[A-Za-zæøå_ ]{2,24}&gt;|<[A-Za-zæøå_]{2,24}>|\[(?:TODO|[Ss]ett inn|[Ff]yll inn|[Ii]nsert)[^\]\n]{0,40}\]|\[[A-ZÆØÅa-zæøå ]{2,30} her\]|\[[A-ZÆØÅ_]{3,24}\](?!\()|\((?:fyll|sett) inn [^)\n]{1,30}\)|«[A-ZÆØÅ][a-zæøå]+»(?=,| og følges| til oss|$|\n)|\bX{4,}\b|\.{6,}|_{5,}|(?<![\w.])N\.N\.|\bnull null\b|\bundefined\b",
     "filler": r"(?i)\blorem ipsum\b|\basdf\b|\bqwerty\b|\bdummytekst|\btekst tekst\b|kommer brødteksten|eksempeltekst|\bplaceholder text\b",
     "status": r"(?i)\b(?:[45]\d\d) (?:service unavailable|bad gateway|not found|internal server error|forbidden|gateway time-?out|siden finnes ikke)|\"status\": ?[45]\d\d|bad gateway|service unavailable|too many requests|did not answer in time|økt(?:en|a) din er (?:utløpt|gått ut)|session (?:has )?expired|siden finnes ikke|noe gikk galt|feilkode \d|tilgang (?:er )?nektet|access denied|\b(?:Key|Value|Type|Index|Attribute)Error\b|nede for planlagt vedlikehold|vi fant ikke siden du|bekreft at du er et menneske|verify (?:that )?you are (?:a )?human",
     "script": r"(?i)(?:slå på|skru på|aktiver|enable|turn on) (?:java)?s[ck]ript|needs? scripts?\b|støtter ikke (?:java)?s[ck]ript|requires? javascript|last siden .{0,60}på nytt",
 }
 _WEAK = {k: re.compile(p, re.M) for k, p in WEAK.items()}
 #: Signs of residue by which the sample is made richer in it; they decide nothing else.
-MARKS = ("{", "[TODO", "[S", "(fyll inn", "(sett inn", "orem ipsum", "HTTP ", "undefined", "null null", "XXXX", "......", "N.N.", "&lt;", "«", "%", " her]", "JavaScript", "kript", "script", "status", "Gateway", "utløpt", "finnes ikke", "eilkode", "nektet", "Error", "vedlikehold", "asdf", "ekst tekst", "brødtekst", "menneske", "requests", "gikk galt", "lette etter")
+MARKS = ("{", "[TODO", "[S", "(fyll inn", "(sett inn", "orem ipsum", "HTTP ", "undefined", "null null", "XXXX", "......", "N.N.", "&lt;", "«", "%", " her]", "JavaScript", "kript", "script", "status", "Gateway", "utløpt", "finnes ikke", "eilkode", "nektet", "Error", "vedlikehold", "asdf", "__", "@@", "##", "[[", "ipsum", "dolor", "quo", "ekst tekst", "brødtekst", "menneske", "requests", "gikk galt", "lette etter")
 #: So many times ``limit`` texts are looked at for marks.
 RICHER = 12
 
@@ -46,8 +47,21 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_+")
 _HOST = re.compile(r"\b[\w\-]+(?:\.[\w\-]+)*\.(?:example|test|invalid|no|com|org|net)\b")
 
 
-def weak_kind(segment: str) -> str | None:
-    return next((k for k, p in _WEAK.items() if p.search(segment)), None)
+_RUN = re.compile(r"(?:\b[^\W\d_]{2,}[ ,.]+){12,}")
+
+
+def _filler(segment: str, known) -> bool:
+    """Whether a run of twelve or more different words, mostly in lower case, is made of words that hardly any text has."""
+    for m in _RUN.finditer(segment):
+        w = re.findall(r"[^\W\d_]+", m.group())
+        if sum(x.islower() for x in w) > 0.8 * len(w) and len(set(w)) > 0.8 * len(w) and sum(x.lower() in known for x in w) < 0.4 * len(w):
+            return True
+    return False
+
+
+def weak_kind(segment: str, known=None) -> str | None:
+    """Kind of residue that a phrase or form tells of; ``known`` are the words that several texts have."""
+    return next((k for k, p in _WEAK.items() if p.search(segment)), None) or ("filler" if known is not None and _filler(segment, known) else None)
 
 
 def _shape(token: str) -> str:
@@ -59,11 +73,11 @@ def _shape(token: str) -> str:
 
 
 class Tokens(dict):
-    """token -> number; the hashes of its lower-case form and of its shape stand in two lists."""
+    """token -> number; the hashes of its lower-case form, its shape, its beginning and its end stand in lists."""
 
     def __init__(self, limit: int = 300_000):
         super().__init__()
-        self.limit, self.low, self.shape = limit, [], []
+        self.limit, self.low, self.shape, self.head, self.tail = limit, [], [], [], []
         for special in ("\x02first", "\x02", "\x03"):
             self[special]  # noqa: B018
 
@@ -72,6 +86,9 @@ class Tokens(dict):
         s = _shape(token)
         self.low.append(xxhash.xxh64_intdigest(s if token[0].isdigit() else token.lower()))
         self.shape.append(xxhash.xxh64_intdigest("shape" + s))
+        w = token.lower() if token[0].isalpha() and len(token) > 3 else ""
+        self.head.append(xxhash.xxh64_intdigest("head" + w[:3]) if w else 0)
+        self.tail.append(xxhash.xxh64_intdigest("tail" + w[-3:]) if w else 0)
         return n
 
 
@@ -101,7 +118,8 @@ def features(segs: list[list[str]], cache: Tokens) -> tuple[np.ndarray, np.ndarr
     triple = np.where(last | np.roll(last, -1), np.uint64(0), shape * a + nxt2 * b + nxt3 * c)
     mixed = np.where(last, np.uint64(0), low * c + nxt2 * a + np.uint64(2))
     size = np.uint64(7) + np.minimum(np.repeat(lens, lens), 30).astype(np.uint64) // np.uint64(4)
-    f = np.stack([low, pair, form, triple, mixed, np.where(last, size * a, np.uint64(0))], axis=1)
+    head, tail = np.array(cache.head, np.uint64)[at], np.array(cache.tail, np.uint64)[at]
+    f = np.stack([low, pair, form, triple, mixed, np.where(last, size * a, np.uint64(0)), head, tail], axis=1)
     f ^= f >> np.uint64(31)
     f *= np.uint64(0x7FB5D329728EA185)
     return (f >> np.uint64(64 - BITS)).astype(np.int32), np.concatenate(([0], np.cumsum(lens)))
@@ -155,11 +173,16 @@ def sample(df: DataFrame, id_col: str, text_col: str, limit: int = SAMPLE) -> li
 
 
 def labelled(texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    """Distinct segments, their weak labels, and whether their text's host is held out (a fifth of the hosts)."""
+    """Distinct segments, their weak labels, and whether their text names a host that is held out (a fifth of the hosts)."""
     seen, segs, y, held = set(), [], [], []
+    of: dict[str, int] = {}
+    for t in texts:
+        for w in set(re.findall(r"[^\W\d_]+", t.lower())):
+            of[w] = of.get(w, 0) + 1
+    known = frozenset(w for w, n in of.items() if n > 2)
     for t in texts:
         host = _HOST.search(t)
-        out = xxhash.xxh32_intdigest((host.group() if host else t[:40]).lower()) % 5 == 0
+        out = host is not None and xxhash.xxh32_intdigest(host.group().lower()) % 5 == 0
         first = True
         for s in SEGMENT.split(t):
             tokens = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(s)]
@@ -170,7 +193,7 @@ def labelled(texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]
                 if key not in seen:
                     seen.add(key)
                     segs.append(list(key))
-                    y.append(weak_kind(s[part[0][1] : part[-1][2]]) is not None)
+                    y.append(weak_kind(s[part[0][1] : part[-1][2]], known) is not None)
                     held.append(out)
     return segs, np.array(y, np.float64), np.array(held, bool)
 
@@ -188,46 +211,54 @@ def validation(df: DataFrame, id_col: str, text_col: str, limit: int = SAMPLE) -
     return df.sparkSession.createDataFrame(rows, "hosts string, segments long, positives long, precision double, recall double")
 
 
+def judging(w: np.ndarray, bias: float):
+    """The classifier as a function of a text column: (score, residue, worst)."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cache = Tokens()
+        for whole in batches:
+            out = []
+            for at in range(0, len(whole), 1_000):
+                if len(cache) > cache.limit:
+                    cache = Tokens()
+                texts = whole.iloc[at : at + 1_000]
+                every, owner = [], []
+                for k, t in enumerate(texts):
+                    s = segments(t) if t else []
+                    every += s
+                    owner += [k] * len(s)
+                best = np.full(len(texts), np.nan)
+                worst = np.full(len(texts), None, object)
+                if every:
+                    f, edges = features(every, cache)
+                    z = scores(f, edges, w, bias)
+                    own = np.array(owner)
+                    order = np.lexsort((-np.arange(len(z)), z, own))
+                    top = order[np.concatenate((own[order][1:] != own[order][:-1], [True]))]
+                    best[own[top]] = z[top]
+                    for k in top[z[top] > 0]:
+                        worst[own[k]] = " ".join(every[k][1:-1])
+                out.append(pd.DataFrame({"score": best, "residue": np.nan_to_num(best, nan=-1) > 0, "worst": worst}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"score": np.empty(0), "residue": np.empty(0, bool), "worst": np.empty(0, object)})
+
+    return F.pandas_udf(run, "score double, residue boolean, worst string")
+
+
+def _judged(df: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """``df`` with a column ``_judged``; each text is judged where it is scanned."""
+    segs, y, _ = labelled(sample(df, id_col, text_col, limit))
+    return spread(df).withColumn("_judged", judging(*fit(segs, y))(F.col(text_col)))
+
+
 def judge(df: DataFrame, id_col: str, text_col: str, limit: int = SAMPLE) -> DataFrame:
     """(id_col, score, residue, worst) of every row: the highest segment score, whether it is positive, and that segment.
 
     Null, empty and blank texts have score null and residue false. Whole texts are judged.
     """
-    segs, y, _ = labelled(sample(df, id_col, text_col, limit))
-    w, bias = fit(segs, y)
-
-    def run(batches):
-        cache = Tokens()
-        for pdf in sliced(batches, 1_000):
-            if len(cache) > cache.limit:
-                cache = Tokens()
-            every, owner = [], []
-            for k, t in enumerate(pdf["text"]):
-                s = segments(t) if t else []
-                every += s
-                owner += [k] * len(s)
-            best = np.full(len(pdf), np.nan)
-            worst = np.full(len(pdf), None, object)
-            if every:
-                f, edges = features(every, cache)
-                z = scores(f, edges, w, bias)
-                own = np.array(owner)
-                order = np.lexsort((-np.arange(len(z)), z, own))
-                top = order[np.concatenate((own[order][1:] != own[order][:-1], [True]))]
-                best[own[top]] = z[top]
-                for k in top[z[top] > 0]:
-                    worst[own[k]] = " ".join(every[k][1:-1])
-            yield pd.DataFrame({id_col: pdf[id_col], "score": best, "residue": np.nan_to_num(best, nan=-1) > 0, "worst": worst})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    out = spread(df.select(id_col, F.col(text_col).alias("text"))).mapInPandas(run, f"`{id_col}` {kind}, score double, residue boolean, worst string")
-    return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+    out = _judged(df.select(id_col, text_col), id_col, text_col, limit)
+    return out.select(id_col, F.when(~F.isnan("_judged.score"), F.col("_judged.score")).alias("score"), "_judged.residue", "_judged.worst")
 
 
 def without_residue(df: DataFrame, id_col: str, text_col: str, limit: int = SAMPLE) -> DataFrame:
-    """The rows of ``df`` whose text holds no residue, rows without text included, with all columns.
-
-    A row is left out if any row of its id holds residue, or its id is null and its text holds some.
-    """
-    found = judge(df, id_col, text_col, limit).where("residue").select(F.col(id_col).alias("_id")).distinct()
-    return df.join(found, df[id_col].eqNullSafe(found["_id"]), "left_anti")
+    """The rows of ``df`` whose text holds no residue, rows without text included, with all columns; one pass, no shuffle."""
+    return _judged(df, id_col, text_col, limit).where("not _judged.residue").drop("_judged")
