@@ -32,6 +32,8 @@ REACH = 2
 LABELLED_ROWS = 2_000
 PARTS = 24
 EPOCHS = 10
+#: Share of the labelled names' words that are misspelt, as some names of the texts are.
+MISSPELT = 0.15
 #: Share of tokens whose neighbours are heeded in a step of the training.
 HEED = 0.6
 #: Share of the labelled tokens from which on a word is a feature of its own.
@@ -299,13 +301,19 @@ def annotate(text: str, spans: dict[str, list[str]], first, last) -> tuple[list[
 
 
 def exchanged(tokens: list[str], tags: np.ndarray, rng: np.random.Generator, share: float = 0.6) -> list[str]:
-    """Tokens with the digits of some phone numbers and the names of some streets exchanged for others; lengths of groups stay.
+    """Tokens with the digits of some phone numbers and the names of some streets exchanged for others, and some names misspelt.
 
     A phone number in one piece is exchanged only where a word before it tells what it is, as it may look like a date; a street keeps its number of words.
     """
     out = list(tokens)
     edge = np.flatnonzero(np.diff(np.concatenate(([0], tags, [0]))))
     for a, b in zip(edge[:-1], edge[1:]):
+        if tags[a] == 1:
+            for k in range(a, b):
+                w = out[k].strip()
+                if len(w) > 4 and w.isalpha() and rng.random() < MISSPELT:
+                    at = len(out[k]) - len(w) + int(rng.integers(1, len(w) - 1))
+                    out[k] = out[k][:at] + (out[k][at] * 2 if rng.random() < 0.3 else "") + out[k][at + 1 :]
         if tags[a] not in (2, 5) or rng.random() > share:
             continue
         if tags[a] == 2:
