@@ -23,6 +23,9 @@ MIN_WORDS = 40
 SEQUENCE = 5
 TABLES = 10
 SYMBOLS = 5
+#: Rows of one variant that are paired in one piece, and pairs of a frame.
+BLOCK = 2_000
+PAIRS = 500_000
 
 
 def _keys(seq: np.ndarray, n: np.ndarray, tables: int, symbols: int) -> np.ndarray:
@@ -88,14 +91,8 @@ def _variants(tables: int, symbols: int):
     return run
 
 
-def _collide(batches):
-    """Pairs of classes with a common variant, in blocks; a variant's rows are all in one task."""
-    parts = [(b["key"].to_numpy(np.int64), b["cls"].to_numpy(np.int64)) for b in batches]
-    if not parts:
-        return
-    key, cls = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
+def _bucket_pairs(key: np.ndarray, cls: np.ndarray):
+    """Frames of the pairs of classes with a common variant, from rows in order of variant and class."""
     keep = np.ones(len(key), bool)
     keep[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
     key, cls = key[keep], cls[keep]
@@ -103,12 +100,86 @@ def _collide(batches):
     size = np.diff(edge)
     for m in np.unique(size[size > 1]):
         starts = edge[:-1][size == m]
-        block = max(1, 1_000_000 // int(m))
-        for s in range(0, len(starts), block):
-            rows = cls[starts[s : s + block, None] + np.arange(m)]
-            for d in range(1, int(m)):
-                a, b = rows[:, :-d].ravel(), rows[:, d:].ravel()
-                yield pd.DataFrame({"a": a, "b": b})
+        first, second = np.triu_indices(int(m), 1)
+        step = max(1, PAIRS // len(first))
+        for k in range(0, len(starts), step):
+            rows = cls[starts[k : k + step, None] + np.arange(m)]
+            yield pd.DataFrame({"a": rows[:, first].ravel(), "b": rows[:, second].ravel(), "key": pd.NA, "block": pd.NA}).astype({"key": "Int64", "block": "Int64"})
+
+
+def _collide(block: int):
+    """Pairs (a, b) of classes with a common variant, from rows in order of variant and class, read batch by batch.
+
+    A variant of more than ``block`` rows gives its rows instead (a: class, key, block number), which are paired block
+    by block in tasks of their own.
+    """
+
+    def run(batches):
+        key, cls, hot, number, held = np.empty(0, np.int64), np.empty(0, np.int64), None, 0, []
+
+        def blocks(rows: np.ndarray, k: int, at: int) -> pd.DataFrame:
+            n = at + np.arange(len(rows))
+            return pd.DataFrame({"a": rows, "b": pd.NA, "key": k, "block": n // block}).astype({"b": "Int64", "key": "Int64", "block": "Int64"})
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key, cls = np.concatenate((key, pdf["key"].to_numpy(np.int64))), np.concatenate((cls, pdf["cls"].to_numpy(np.int64)))
+            if hot is not None:  # the open variant goes on
+                end = int(np.searchsorted(key != hot, True)) if (key != hot).any() else len(key)
+                if end:
+                    yield blocks(cls[:end], hot, number)
+                    number += end
+                key, cls = key[end:], cls[end:]
+                if not len(key):
+                    continue
+                hot = None
+            last = int(np.flatnonzero(key == key[-1])[0])  # where the open variant begins
+            yield from _split(key[:last], cls[:last], block, blocks)
+            key, cls = key[last:], cls[last:]
+            if len(key) > block:
+                hot, number = int(key[0]), len(key)
+                yield blocks(cls, hot, 0)
+                key, cls = key[:0], cls[:0]
+        yield from _split(key, cls, block, blocks)
+
+    return run
+
+
+def _split(key: np.ndarray, cls: np.ndarray, block: int, blocks):
+    """Pairs of whole variants, and the rows of those that are too large."""
+    if not len(key):
+        return
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    size = np.diff(edge)
+    for k in np.flatnonzero(size > block):
+        yield blocks(cls[edge[k] : edge[k + 1]], int(key[edge[k]]), 0)
+    small = np.repeat(size <= block, size)
+    yield from _bucket_pairs(key[small], cls[small])
+
+
+def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs between two blocks of one variant, or inside one."""
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    x = np.unique(pdf["a"][pdf["block"] == i].to_numpy(np.int64))
+    if i == j:
+        first, second = np.triu_indices(len(x), 1)
+        return pd.DataFrame({"a": x[first], "b": x[second]})
+    y = np.unique(pdf["a"][pdf["block"] == j].to_numpy(np.int64))
+    a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b]
+
+
+def collisions(variants: DataFrame, parts: int, block: int) -> DataFrame:
+    """Distinct pairs (a, b), smaller first, of the classes of ``variants`` (cls, key) that have a variant in common."""
+    rows = variants.repartition(parts, "key").sortWithinPartitions("key", "cls").mapInPandas(_collide(block), "a long, b long, key long, block long")
+    rows = staged(rows.distinct(), "collisions")
+    hot = rows.where("key is not null").select("a", "key", "block")
+    top = hot.groupBy("key").agg(F.max("block").alias("top"))
+    both = top.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("i"), "top").select("key", "i", F.explode(F.sequence("i", "top")).alias("j"))
+    sent = both.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(hot, ["key", "block"])
+    far = sent.groupBy("key", "i", "j").applyInPandas(_block_pairs, "a long, b long")
+    return rows.where("key is null").select("a", "b").union(far).distinct()
 
 
 def _verify(threshold: float):
@@ -123,7 +194,7 @@ def _verify(threshold: float):
     return F.pandas_udf(likeness, "double")
 
 
-def alike_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, tables: int = TABLES, symbols: int = SYMBOLS) -> tuple[DataFrame, DataFrame]:
+def alike_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, tables: int = TABLES, symbols: int = SYMBOLS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Classes of equal word sequence and the pairs of classes whose likeness is ``threshold`` or more.
 
     Returns (members: rec_id, cls) and (pairs: a, b, likeness). Null, empty and blank texts and texts of fewer than 40
@@ -134,8 +205,7 @@ def alike_classes(df: DataFrame, id_col: str, text_col: str, threshold: float =
     base = staged(texts.mapInPandas(_sets, "rec_id long, cls long, sh binary"), "sets-of-all")
     variants = base.where("sh is not null").select("cls", "sh").mapInPandas(_variants(tables, symbols), "cls long, key long")
     n = max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = variants.repartition(n, "key").mapInPandas(_collide, "a long, b long").distinct()
-    found = staged(found, "collisions")
+    found = staged(collisions(variants, n, block), "pairs")
     need = found.select(F.col("a").alias("cls")).union(found.select(F.col("b").alias("cls"))).distinct()
     sets = base.where("sh is not null").select("cls", "sh").join(need, "cls", "left_semi").dropDuplicates(["cls"])
     sets = staged(sets, "sets")

@@ -46,6 +46,20 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0), "rec_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 7, 1000])
+def test_collisions_of_hot_variants(spark, block):
+    rng = random.Random(11)
+    rows = [(rng.randrange(40), rng.choice([7, 7, 7, *range(12)])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "cls long, key long")
+    by = {}
+    for c, k in rows:
+        by.setdefault(k, set()).add(c)
+    want = {(a, b) for x in by.values() for a in x for b in x if a < b}
+    got = [(r["a"], r["b"]) for r in near_duplicates.collisions(df, 3, block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert near_duplicates.collisions(df.limit(0), 3, block).count() == 0
+
+
 def test_copies_come_as_a_star(spark):
     t = collection(2, 4)[0]
     rows = [(k, t) for k in range(250)] + [(900, " ".join([*t.split()[:-1], "annet"])), (901, t + " mer")]
