@@ -1,15 +1,17 @@
 """Problem 7: encoding the whole corpus with a public byte-level BPE tokenizer.
 
-Method: corpus-level merge replay. The distinct pre-tokens of a task's share of the corpus are laid out as one
-sequence of byte symbols with an inverted index from symbol pair to positions; merges are applied in rank order, each
-to all its positions at once, touching only the neighbours of a merged place. A document's ids are then gathered
-from its pre-tokens' ids. No shuffle, nothing broadcast but the path of the vocabulary file.
+Method: corpus-level merge replay. Documents are written as numbers of their block's pre-tokens; the corpus's distinct
+pre-tokens are spread by hash, and each share is laid out as one sequence of byte symbols with an inverted index from
+symbol pair to positions; merges are applied in rank order, each to all its positions at once, touching only the
+neighbours of a merged place. So every pre-token of the corpus is merged once. Its ids go back to the blocks that have
+it, where a document's ids are gathered from its pre-tokens'. Nothing is broadcast but the path of the vocabulary file.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import secrets
 import sys
 import unicodedata
 from functools import lru_cache
@@ -18,15 +20,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusloom.session import spread
+from corpusloom.session import spread, staged
 
 TOKENIZERS = "/opt/tokenizers"
 #: Distinct pre-tokens that a task keeps; beyond that it starts anew.
 KEEP_WORDS = 600_000
+#: Characters of the documents of one block, which are gathered in one task.
+BLOCK_CHARS = 24_000_000
 
 # The tokenizer's pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -172,21 +178,89 @@ def _slices(batch: pa.RecordBatch, rows: int = 2_000):
         yield batch.slice(k, rows)
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
-    """(id_col, ids) of every row, without special tokens; the strings of special tokens are ordinary text.
+def _numbered(kind: pa.DataType):
+    """Rows (block, id, at): each document as numbers of its block's pre-tokens; and (block, n, word): those pre-tokens."""
+    names = ["block", "_id", "at", "n", "word"]
 
-    A null or empty text has an empty list. Rows with equal ids are each encoded.
-    """
+    def rows(size: int, block: int, **given) -> pa.RecordBatch:
+        types = dict(zip(names, (pa.int64(), kind, pa.binary(), pa.int32(), pa.string())))
+        given["block"] = pa.array(np.full(size, block), pa.int64())
+        return pa.RecordBatch.from_arrays([given[c].cast(types[c]) if c in given else pa.nulls(size, types[c]) for c in names], names)
 
     def run(batches):
-        e = Encoder(vocabulary)
+        number, block, held = {}, secrets.randbits(62), 0
         for whole in batches:
             for b in _slices(whole):
-                ids, offsets = e.encode(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], [id_col, "ids"])
+                texts = b.column(1).to_pylist()
+                each = pre_tokens(texts)
+                for w in set(chain.from_iterable(each)):
+                    if w not in number:
+                        number[w] = len(number)
+                at = [np.fromiter(map(number.__getitem__, t), np.int32, len(t)).tobytes() for t in each]
+                yield rows(b.num_rows, block, _id=b.column(0), at=pa.array(at, pa.binary()))
+                held += sum(map(len, filter(None, texts)))
+                if held > BLOCK_CHARS:
+                    yield rows(len(number), block, n=pa.array(np.arange(len(number)), pa.int32()), word=pa.array(list(number), pa.string()))
+                    number, block, held = {}, secrets.randbits(62), 0
+        if number:
+            yield rows(len(number), block, n=pa.array(np.arange(len(number)), pa.int32()), word=pa.array(list(number), pa.string()))
+
+    return run
+
+
+def _merged(path: str):
+    """Rows (word, ids) of distinct pre-tokens; a task's share is merged at once, in parts of ``KEEP_WORDS``."""
+
+    def merge(words: list[str]) -> pa.RecordBatch:
+        ids, counts = replay(words, path)
+        edge = np.concatenate(([0], np.cumsum(counts))).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([ids[x:y].tobytes() for x, y in zip(edge, edge[1:])], pa.binary())], ["word", "ids"])
+
+    def run(batches):
+        words: list[str] = []
+        for b in batches:
+            words += b.column(0).to_pylist()
+            if len(words) >= KEEP_WORDS:
+                yield merge(words)
+                words = []
+        if words:
+            yield merge(words)
+
+    return run
+
+
+def _gather():
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        flat = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.int32)
+        size = lambda c: pc.binary_length(c).to_numpy().astype(np.int64) // 4
+        words = words.sort_by("n")
+        ids, count = flat(words["ids"]), size(words["ids"])
+        start = np.cumsum(count) - count
+        at = flat(docs["at"])
+        n = count[at]
+        total = np.cumsum(n)
+        place = np.repeat(start[at] - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)
+        edge = np.concatenate(([0], np.cumsum(size(docs["at"]))))
+        offsets = np.concatenate(([0], total))[edge]
+        return pa.table([docs["_id"].combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[place], pa.int32()))], names=["_id", "ids"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return spread(df.select(id_col, F.col(text_col).alias("text"))).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return run
+
+
+def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    """(id_col, ids) of every row, without special tokens; the strings of special tokens are ordinary text.
+
+    A null or empty text has an empty list. Rows with equal ids are each encoded.
+    """
+    kind = df.schema[id_col].dataType
+    t = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")))
+    numbered = staged(t.mapInArrow(_numbered(to_arrow_type(kind)), f"block long, _id {kind.simpleString()}, at binary, n int, word string"), "numbered")
+    own = numbered.where("word is not null").select("block", "n", "word")
+    vocab = own.select("word").distinct().mapInArrow(_merged(vocabulary), "word string, ids binary")
+    back = own.join(vocab, "word").select("block", "n", "ids")
+    docs = numbered.where("at is not null").select(F.col("block").alias("of"), "_id", "at")
+    found = docs.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(_gather(), f"_id {kind.simpleString()}, ids array<int>")
+    return found.select(F.col("_id").alias(id_col), "ids")
 
 
 def token_counts(df: DataFrame, keep: list[str], text_col: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
