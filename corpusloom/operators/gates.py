@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 # Patterns of placeholders and of structured personal data.
-PLACEHOLDER = r"\{\{?[^{}\n]{1,40}\}|\[TODO[^\]\n]*\]|XXX+|N\.N\."
+PLACEHOLDERS = {
+    "square": r"\[[^\[\]\n]{2,60}\]\(?",
+    "angle": r"<[^<>\n]{2,40}>",
+    "word": r"[\p{L}\p{N}_]+",
+    "initials": r"(?:\A|[^\p{L}\p{N}_])N\.N\.",
+    "nn": r"(?:\A|[^\p{L}\p{N}_])NN(?:\z|[^\p{L}\p{N}_ \t]|[ \t][^0-9]|[ \t]\z)",
+    "fill": r"\((?i:sett inn|fyll inn|set inn)[^)]*\)",
+    "brace": r"\{[A-Za-z_]{3,}\}",
+}
+#: What a match must be to count: a footnote mark and a link are no placeholders, a word is one if it is of x only or digits before x.
+COUNTS = {"square": r"\A\[(?:[^0-9].*|[0-9]{3,}.*|[0-9]{1,2}[^0-9\]].*)\]\z", "word": r"\A(?:[Xx]{3,}|.*[0-9]{4,}[Xx]{3,}.*)\z"}
+NAME_RUN = r"(?:\A|[^\p{L}\p{N}_])([A-ZÆØÅ][a-zæøå'\-]+(?:[ \t]+[A-ZÆØÅ][a-zæøå'\-]+)+)"
 PATTERNS = {
     "email": r"[A-Za-z0-9._+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "date": r"[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}",
@@ -18,12 +29,60 @@ PATTERNS = {
 }
 
 
+def _placeholder_hits(text_col: str, kind: str) -> Column:
+    hits = F.regexp_extract_all(text_col, F.lit(f"({PLACEHOLDERS[kind]})"), F.lit(1))
+    return F.size(F.filter(hits, lambda x: x.rlike(COUNTS[kind])) if kind in COUNTS else hits).cast("long")
+
+
+def placeholder_kinds(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, kind, n): unfilled placeholders of each text by form; forms without any are left out."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), _placeholder_hits(text_col, k).alias("n")) for k in PLACEHOLDERS])
+    x = df.where(F.col(text_col).isNotNull()).select(id_col, F.explode(pairs).alias("_p"))
+    return x.select(id_col, "_p.kind", "_p.n").where("n > 0")
+
+
 def placeholders(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Unfilled placeholders of each text; null texts are left out."""
-    hits = F.size(F.regexp_extract_all(text_col, F.lit(f"({PLACEHOLDER})"), F.lit(1))).cast("long")
+    """Number of forms of unfilled placeholders in each text; null texts are left out."""
+    hits = sum(((_placeholder_hits(text_col, k) > 0).cast("long") for k in PLACEHOLDERS), F.lit(0).cast("long"))
     return df.where(F.col(text_col).isNotNull()).select(id_col, hits.alias("hits")).withColumn("ok", F.col("hits") == 0)
 
 
+def verbatim(df: DataFrame, id_col: str, text_col: str, map_col: str) -> DataFrame:
+    """(id, planned, missing, ok): the record's spans, as distinct values, that do not stand in its text; a null text has none."""
+    spans = F.array_distinct(F.filter(F.flatten(F.transform(F.map_values(map_col), lambda v: F.coalesce(v, F.array().cast("array<string>")))), lambda s: s.isNotNull() & (s != "")))
+    x = df.where(F.col(map_col).isNotNull()).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t"), spans.alias("_s"))
+    missing = F.size(F.filter("_s", lambda s: ~F.contains("_t", s))).cast("long")
+    return x.select(id_col, F.size("_s").cast("long").alias("planned"), missing.alias("missing")).withColumn("ok", F.col("missing") == 0)
+
+
+def name_collisions(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str, longest: int = 5) -> DataFrame:
+    """(id, name): names of two to ``longest`` words, as a run of capitalised words has them, that the list of names holds.
+
+    Runs meet the list by a join, which Spark broadcasts only if it knows it to be small.
+    """
+    runs = F.regexp_extract_all(text_col, F.lit(NAME_RUN), F.lit(1))
+    w = df.select(id_col, F.explode(runs).alias("r")).select(id_col, F.split("r", "[ \t]+").alias("w"))
+    at = F.sequence(F.lit(0), F.size("w") - 2)
+    parts = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), F.size("w") - i)), lambda k: F.array_join(F.slice("w", i + 1, k), " "))))
+    known = names.where(F.col(name_col).isNotNull()).select(F.col(name_col).alias("name")).distinct()
+    return w.select(id_col, F.explode(parts).alias("name")).join(known, "name").select(id_col, "name").distinct()
+
+
+def checksums(found: DataFrame, id_col: str, span_col: str, declared_col: str, actual: Column) -> DataFrame:
+    """(id, span, declared, actual): identifiers whose declared validity is not that of their check digits."""
+    x = found.select(id_col, F.col(span_col).alias("span"), F.col(declared_col).alias("declared"), actual.alias("actual")).distinct()
+    return x.where(F.col("declared") != F.col("actual"))
+
+
+def repetition(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.06, n: int = 8) -> DataFrame:
+    """(id, grams, kinds, share, ok): repeated share of n-chunk sequences; texts of fewer than 2n chunks have none and pass."""
+    x = df.where(F.col(text_col).isNotNull()).select(id_col, T.chunks(F.col(text_col)).alias("t"))
+    g = F.when(F.size("t") >= 2 * n, F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.xxhash64(F.slice("t", i, n)))).otherwise(F.array().cast("array<bigint>"))
+    x = x.select(id_col, g.alias("g")).select(id_col, F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("kinds"))
+    share = F.coalesce(F.try_divide(F.col("grams") - F.col("kinds"), F.col("grams")), F.lit(0.0))
+    return x.withColumn("share", F.round(share, 6)).withColumn("ok", share <= threshold)
+
+
 def length(df: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
     x = df.where(F.col(text_col).isNotNull()).select(id_col, F.length(text_col).cast("long").alias("n_chars"))
     return x.withColumn("ok", F.col("n_chars") <= limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import intervals_of
@@ -11,29 +11,25 @@ from corpusloom.functions import labels as L
 
 def violations(df: DataFrame, id_col: str, text_col: str, map_col: str, known: list[str]) -> DataFrame:
     """(id, etype, span, code): unknown_type once a type, bad_shape for a null list, empty_span, duplicate_span, the location if it is not
-    ok, and redundant_nested for a span all of whose places lie in those of one longer span of its type."""
-    t = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"), map_col)
-    types = t.select(id_col, F.explode(map_col).alias("etype", "spans"))
-    unknown = types.where(~F.col("etype").isin(known)).select(id_col, "etype", F.lit(None).cast("string").alias("span"), F.lit("unknown_type").alias("code"))
-    shape = types.where(F.col("etype").isin(known) & F.col("spans").isNull()).select(id_col, "etype", F.lit(None).cast("string").alias("span"), F.lit("bad_shape").alias("code"))
-    long = L.long_form(t, id_col, map_col, "text").where(F.col("etype").isin(known))
-    blank = F.coalesce(F.trim("span"), F.lit("")) == ""
-    again = F.row_number().over(Window.partitionBy(id_col, "etype", "span").orderBy("ord")) > 1
-    long = long.withColumn("again", again)
-    code = F.when(blank, "empty_span").when(F.col("again"), "duplicate_span").otherwise(L.locate(F.col("text"), F.col("span")))
-    judged = long.withColumn("code", code)
-    wrong = judged.where("code <> 'ok'").select(id_col, "etype", "span", "code")
-    nested = redundant(judged.where("code = 'ok'").select(id_col, "etype", "text", "span"), id_col)
-    return unknown.unionByName(shape).unionByName(wrong).unionByName(nested.withColumn("code", F.lit("redundant_nested")))
-
-
-def redundant(spans: DataFrame, id_col: str) -> DataFrame:
-    """(id, etype, span): spans (with their text) all of whose places lie in the places of one longer span of the type."""
-    s = spans.select(id_col, "etype", "text", "span")
-    longer = s.select(id_col, "etype", F.col("span").alias("longer"))
-    both = s.join(longer, [id_col, "etype"]).where(F.contains("longer", "span") & (F.col("longer") != F.col("span")))
-    inside = intervals_of.all_inside(F.col("text"), F.col("span"), F.col("longer"))
-    return both.where(inside).select(id_col, "etype", "span").distinct()
+    ok, and redundant_nested for a span all of whose places lie in those of one longer span of its type. A record's labels stay in its row: no shuffle."""
+    x = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.explode(map_col).alias("etype", "_spans"))
+    row = lambda span, code: F.struct(span.cast("string").alias("span"), (F.lit(code) if isinstance(code, str) else code).alias("code"))
+    text, spans = F.col("_text"), F.col("_spans")
+    blank = lambda s: F.coalesce(F.trim(s), F.lit("")) == ""
+
+    def code(s: Column, i: Column) -> Column:
+        again = F.exists(F.slice(spans, F.lit(1), i), lambda y: y.eqNullSafe(s))
+        return row(s, F.when(blank(s), "empty_span").when(again, "duplicate_span").otherwise(L.locate(text, s)))
+
+    x = x.withColumn("_judged", F.transform("_spans", code))
+    ok = F.transform(F.filter("_judged", lambda v: v.code == "ok"), lambda v: v.span)
+    x = x.withColumn("_ok", ok)
+    inside = lambda s: F.exists("_ok", lambda y: F.contains(y, s) & (y != s) & intervals_of.all_inside(text, s, y))
+    nested = F.transform(F.filter("_ok", inside), lambda s: row(s, "redundant_nested"))
+    every = F.concat(F.filter("_judged", lambda v: v.code != "ok"), nested)
+    none = F.lit(None)
+    found = F.when(~F.col("etype").isin(known), F.array(row(none, "unknown_type"))).when(spans.isNull(), F.array(row(none, "bad_shape"))).otherwise(every)
+    return x.select(id_col, "etype", F.explode(found).alias("_v")).select(id_col, "etype", "_v.span", "_v.code")
 
 
 def fixed(df: DataFrame, id_col: str, text_col: str, map_col: str, known: list[str]) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import labels as L
 from corpusloom.functions import text as T
 from corpusloom.operators import dedup, taxonomy, validation
-from corpusloom.plans.registry import LONG, query
-from corpusloom.session import table
+from corpusloom.plans.registry import LONG, SQL, query
+from corpusloom.session import spread, table
 
 # The legacy types.
 LEGACY = "PERSON DATE_TIME NO_PHONE_NUMBER NO_ADDRESS EMAIL_ADDRESS GOV_ID POSTAL_CODE EMPLOYMENT_INFO HEALTH_INFO CRIMINAL_RECORD FAMILY_RELATION ECONOMIC_STATUS BEHAVIORAL_PATTERN AGE_INFO CONTEXT_SENSITIVE FINANCIAL_INFO".split()
@@ -60,7 +60,7 @@ UNION ALL SELECT rec_id, etype, span, code FROM l WHERE code <> 'ok'
 UNION ALL SELECT rec_id, etype, span, 'redundant_nested' FROM n"""
 )
 def validate_report(spark, d):
-    return validation.violations(table(spark, d, "combined_data"), "rec_id", "text_input", "output", LEGACY)
+    return validation.violations(spread(table(spark, d, "combined_data").select("rec_id", "text_input", "output")), "rec_id", "text_input", "output", LEGACY)
 
 
 def validate_summary(spark, d):
@@ -68,7 +68,15 @@ def validate_summary(spark, d):
     return validate_report(spark, d).groupBy("code", "etype").agg(F.count("*").alias("n"), F.countDistinct("rec_id").alias("records"))
 
 
-query()(validate_summary)
+query(f"SELECT code, etype, count(*) AS n, count(DISTINCT rec_id) AS records FROM ({SQL['validate_report']}) GROUP BY code, etype")(validate_summary)
+
+
+@query(f"SELECT count_if(code IN ('not_a_substring', 'duplicate_span', 'bad_shape')) = 0 AND (SELECT count(*) FROM combined_data WHERE text_input IS NULL OR trim(text_input) = '' OR output IS NULL OR cardinality(output) = 0) = 0 AS ok, count(*) AS violations FROM ({SQL['validate_report']})")
+def validate_exit(spark, d):
+    """Whether the dataset passes: nothing beyond repair, no duplicates, no empty records; and the number of violations."""
+    empty = table(spark, d, "combined_data").agg(F.count_if(F.col("text_input").isNull() | (F.trim("text_input") == "") | F.col("output").isNull() | (F.size("output") == 0)).alias("empty"))
+    codes = validate_report(spark, d).agg(F.collect_set("code").alias("codes"), F.count("*").alias("violations"))
+    return codes.crossJoin(empty).select((validation.is_valid_exit(F.col("codes")) & (F.col("empty") == 0)).alias("ok"), "violations")
 
 
 @query()
@@ -85,25 +93,6 @@ def verbatim_rate(spark, d):
     return x.groupBy("etype").agg(F.count("*").alias("spans"), hit.alias("verbatim"), F.round(hit / F.count("*"), 6).alias("share"))
 
 
-@query(
-    f"""{LONG}, x AS (SELECT rec_id, etype, span, regexp_replace(span, '[^0-9]', '', 'g') AS dg, lower(span) AS low FROM s WHERE span IS NOT NULL AND span <> ''),
-w AS (SELECT *, CASE WHEN length(dg) = 11 THEN list_transform(string_split(dg, ''), lambda c: c::INT) END AS d FROM x)
-SELECT rec_id, etype, span, CASE etype
- WHEN 'PERSON' THEN 'PERSON' WHEN 'NO_PHONE_NUMBER' THEN 'PHONE' WHEN 'EMAIL_ADDRESS' THEN 'EMAIL' WHEN 'NO_ADDRESS' THEN 'ADDRESS' WHEN 'POSTAL_CODE' THEN 'POSTAL_CODE' WHEN 'CRIMINAL_RECORD' THEN 'CRIMINAL'
- WHEN 'ECONOMIC_STATUS' THEN 'ECONOMIC_STATUS' WHEN 'BEHAVIORAL_PATTERN' THEN 'BEHAVIORAL_PATTERN' WHEN 'AGE_INFO' THEN 'AGE_INFO' WHEN 'ANIMAL_INFO' THEN 'ANIMAL_INFO' WHEN 'AGE' THEN 'AGE'
- WHEN 'GOV_ID' THEN CASE WHEN d IS NOT NULL AND (3*d[1]+7*d[2]+6*d[3]+d[4]+8*d[5]+9*d[6]+4*d[7]+5*d[8]+2*d[9]+d[10]) % 11 = 0 AND (5*d[1]+4*d[2]+3*d[3]+2*d[4]+7*d[5]+6*d[6]+5*d[7]+4*d[8]+3*d[9]+2*d[10]+d[11]) % 11 = 0 THEN 'NATIONAL_ID'
-  WHEN length(dg) = 9 THEN 'ORG_NUMBER' WHEN regexp_full_match(span, '[0-9]{{4}}\\.[0-9]{{2}}\\.[0-9]{{5}}') THEN 'BANK_ACCOUNT' ELSE 'UNRESOLVED' END
- WHEN 'HEALTH_INFO' THEN CASE WHEN regexp_matches(low, 'rullestol|høreapparat|høyreapparat|blind|døv') THEN 'DISABILITY' WHEN regexp_matches(low, 'medisin|tablett|insulin') THEN 'MEDICATION' ELSE 'HEALTH' END
- WHEN 'DATE_TIME' THEN CASE WHEN regexp_full_match(span, '[0-9]{{1,3}} (år|ar)') THEN 'AGE' ELSE 'DATE_TIME' END
- WHEN 'EMPLOYMENT_INFO' THEN CASE WHEN regexp_matches(span, '(AS|ASA|kommune|Tingrett|Barneskole|Legekontor)$') AND NOT regexp_matches(span, '^[a-zæøå]') THEN 'ORGANIZATION' ELSE 'EMPLOYMENT' END
- WHEN 'FAMILY_RELATION' THEN CASE WHEN regexp_matches(low, 'gift|skilt|samboer|enke|ugift') AND NOT regexp_matches(low, 'mor|far|søster|bror|sønn|datter|svoger') THEN 'MARITAL_STATUS' ELSE 'FAMILY_RELATION' END
- ELSE NULL END AS new_type FROM w"""
-)
-def taxonomy_convert(spark, d):
-    x = L.long_form(table(spark, d, "combined_data"), "rec_id", "output").where("span is not null and span <> ''")
-    return x.select("rec_id", "etype", "span", taxonomy.convert(F.col("etype"), F.col("span")).alias("new_type"))
-
-
 @query(
     """WITH e AS (SELECT id, unnest(map_entries(gemini)) AS e FROM slice_reference), b AS (SELECT DISTINCT id, e.key AS type, unnest(e.value) AS span FROM e),
 b2 AS (SELECT * FROM b WHERE span IS NOT NULL), n AS (SELECT DISTINCT id, type, span FROM additions WHERE span IS NOT NULL AND trim(span) <> '' EXCEPT SELECT * FROM b2)

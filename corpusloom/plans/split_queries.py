@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import dedup, intervals, leakage
+from corpusloom.operators import dedup, intervals, leakage, sampling, similarity
 from corpusloom.plans.registry import query
 from corpusloom.plans.text_queries import SKELETON_SQL
-from corpusloom.session import table
+from corpusloom.session import spread, table
 
 
 @query(
@@ -156,3 +156,72 @@ def coherence_rules(spark, d):
         F.when(k % 4 == 0, "parent").when(k % 4 == 1, "child").when(k % 4 == 2, "spouse").otherwise("professional").alias("role"),
     )
     return t.select("c_custkey", "role", leakage.coherence(F.col("role"), F.col("member_age"), F.col("subject_age")).alias("verdict"))
+
+
+@query(
+    """WITH a AS (SELECT c_custkey, 20 + c_custkey % 70 AS s, 1 + (c_custkey * 7) % 130 AS m, CASE c_custkey % 5 WHEN 0 THEN 'parent' WHEN 1 THEN 'child' WHEN 2 THEN 'spouse' WHEN 3 THEN 'guardian' ELSE 'professional' END AS role FROM customer),
+r AS (SELECT c_custkey, role, unnest([CASE WHEN m > 105 THEN 'too_old' END, CASE WHEN role IN ('parent', 'guardian') AND m > 100 THEN 'parent_too_old' END, CASE WHEN role IN ('parent', 'guardian') AND m - s NOT BETWEEN 16 AND 55 THEN 'parent_gap' END,
+ CASE WHEN role = 'child' AND s - m NOT BETWEEN 16 AND 55 THEN 'child_gap' END, CASE WHEN role = 'spouse' AND m < 18 THEN 'spouse_too_young' END, CASE WHEN role = 'spouse' AND m > 100 THEN 'spouse_too_old' END,
+ CASE WHEN role = 'spouse' AND abs(m - s) > 15 THEN 'spouse_gap' END, CASE WHEN role = 'professional' AND m NOT BETWEEN 25 AND 67 THEN 'professional_age' END]) AS rule FROM a)
+SELECT c_custkey, role, rule FROM r WHERE rule IS NOT NULL"""
+)
+def cast_verdicts(spark, d):
+    """Every rule of ages that a member of a cast breaks."""
+    k = F.col("c_custkey")
+    role = F.when(k % 5 == 0, "parent").when(k % 5 == 1, "child").when(k % 5 == 2, "spouse").when(k % 5 == 3, "guardian").otherwise("professional")
+    t = table(spark, d, "customer").select("c_custkey", (20 + k % 70).alias("subject"), (1 + (k * 7) % 130).alias("age"), role.alias("role"))
+    return t.select("c_custkey", "role", F.explode(leakage.incoherent(F.col("role"), F.col("age"), F.col("subject"))).alias("rule"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+k AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM w WHERE len(w) >= 5),
+r AS (SELECT s, min(id) AS rep FROM k GROUP BY s), u AS (SELECT rep AS id, unnest(s) AS g, len(s) AS n FROM r),
+p AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS likeness FROM u a JOIN u b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT a, b, round(likeness, 6) AS likeness FROM p WHERE likeness >= 0.8 UNION ALL SELECT rep, id, 1.0 FROM k JOIN r USING (s) WHERE id <> rep"""
+)
+def similar_documents(spark, d):
+    """Pairs of documents of likeness 0.8 or more over five-word sequences; copies with their representative."""
+    x = similarity.similar_pairs(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 0.8)
+    return x.withColumn("likeness", F.round("likeness", 6))
+
+
+@query()
+def keep_first_documents(spark, d):
+    """Documents in order of their ids, each kept if it is like none kept before it."""
+    return similarity.keep_first(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 0.8).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    """WITH t AS (SELECT rec_id, source, md5(coalesce(text_input, '')) AS g FROM processed), h AS (SELECT DISTINCT g FROM t WHERE source <> 'corpus')
+SELECT rec_id, CASE WHEN g IN (SELECT g FROM h) THEN 'test' WHEN ('0x' || substr(sha256('source|' || g), 1, 8))::BIGINT % 100 < 10 THEN 'val' ELSE 'train' END AS part FROM t"""
+)
+def source_split(spark, d):
+    """Documents of a source are test, the corpus is split by the hash of its texts; a text in two parts would raise."""
+    t = sampling.split_by_source(table(spark, d, "processed").select("rec_id", "source", "text_input"), "text_input", F.col("source") != "corpus", 10, "source")
+    return sampling.assert_no_leak(t, "text_input").select("rec_id", "part")
+
+
+@query()
+def gold_sample(spark, d):
+    """A sample of 200 texts: rare types first, then texts whose copies are labelled differently, then by template."""
+    t = table(spark, d, "combined_data").where("text_input is not null").withColumn("digest", F.md5("text_input"))
+    hard = dedup.conflicts(table(spark, d, "combined_data"), "text_input", "output").select("digest", F.col("conflict").alias("hard"))
+    t = t.groupBy("digest").agg(F.min("rec_id").alias("rec_id"), F.min_by("output", "rec_id").alias("output"), F.min_by(F.contains("text_input", F.lit("\n-- ")), "rec_id").alias("talk"))
+    t = t.join(hard, "digest", "left").withColumn("template", F.when(F.col("talk"), "interview").otherwise("dossier"))
+    types = ["PERSON", "NO_ADDRESS", "NO_PHONE_NUMBER", "EMAIL_ADDRESS", "GOV_ID", "FINANCIAL_INFO", "HEALTH_INFO", "CRIMINAL_RECORD", "FAMILY_RELATION", "EMPLOYMENT_INFO"]
+    return sampling.three_pass(t, "rec_id", "output", "hard", "template", types, 200, 15, 0.2, "gold").withColumnRenamed("id", "rec_id")
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT name AS item, side FROM name_pool WHERE name IS NOT NULL AND length(trim(name)) >= 3), t AS (SELECT rec_id, CASE WHEN split = 'train' THEN 'train' ELSE 'benchmark' END AS s, text_input AS x FROM processed),
+n AS (SELECT item, count(DISTINCT CASE WHEN s = 'train' THEN rec_id END) AS train, count(DISTINCT CASE WHEN s = 'benchmark' THEN rec_id END) AS benchmark FROM (SELECT DISTINCT item FROM b) b JOIN t ON contains(x, item) OR contains(x, CASE WHEN upper(item[1]) = item[1] THEN lower(item[1]) ELSE upper(item[1]) END || item[2:]) GROUP BY item),
+l AS (SELECT b.item, b.side, EXISTS (SELECT 1 FROM b o WHERE o.item <> b.item AND contains(o.item, b.item)) AS any_, EXISTS (SELECT 1 FROM b o WHERE o.side = 'train' AND o.item <> b.item AND contains(o.item, b.item)) AS tr, EXISTS (SELECT 1 FROM b o WHERE o.side = 'benchmark' AND o.item <> b.item AND contains(o.item, b.item)) AS be FROM b)
+SELECT 'shared_text' AS kind, item, (train + benchmark)::BIGINT AS documents FROM n JOIN l USING (item) WHERE train > 0 AND benchmark > 0 AND NOT any_
+UNION ALL SELECT 'benchmark_in_train', item, train FROM n JOIN l USING (item) WHERE side = 'benchmark' AND train > 0 AND NOT tr UNION ALL SELECT 'train_in_benchmark', item, benchmark FROM n JOIN l USING (item) WHERE side = 'train' AND benchmark > 0 AND NOT be"""
+)
+def leak_crossing(spark, d):
+    """Names of the pool that stand in documents of both sides or of the side that is not theirs."""
+    pool = table(spark, d, "name_pool").where("name is not null").select("name", "side").distinct().collect()  # a small fixed table
+    t = table(spark, d, "processed")
+    return leakage.crossing(t, "rec_id", "text_input", F.coalesce(F.col("split") == "train", F.lit(False)), [(r["name"], r["side"]) for r in pool], 3)

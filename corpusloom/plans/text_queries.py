@@ -47,14 +47,65 @@ g AS (SELECT rec_id, unnest(list_transform(range(1, len(t) - 6), lambda i: array
 SELECT rec_id, count(*) AS grams, count(DISTINCT g) AS kinds, round((count(*) - count(DISTINCT g)) / count(*), 6) AS share FROM g GROUP BY rec_id""")
 def ngram_repetition(spark, d):
     """Repeated share of eight-chunk sequences of texts of at least sixteen chunks."""
-    x = table(spark, d, "combined_data").where("text_input is not null").select("rec_id", T.chunks(F.col("text_input")).alias("t")).where(F.size("t") >= 16)
-    g = x.select("rec_id", T.grams(F.col("t"), 8).alias("g")).select("rec_id", F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("kinds"))
-    return g.withColumn("share", F.round((F.col("grams") - F.col("kinds")) / F.col("grams"), 6))
+    return gates.repetition(_texts(spark, d), "rec_id", "text_input").where("grams > 0").drop("ok")
 
 
-@query(r"""SELECT rec_id, len(regexp_extract_all(text_input, '\{\{?[^{}\n]{1,40}\}|\[TODO[^\]\n]*\]|XXX+|N\.N\.'))::BIGINT AS hits, NOT regexp_matches(text_input, '\{\{?[^{}\n]{1,40}\}|\[TODO[^\]\n]*\]|XXX+|N\.N\.') AS ok FROM combined_data WHERE text_input IS NOT NULL""")
+@query(r"""WITH t AS (SELECT rec_id, list_filter(string_split_regex(text_input, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS t FROM combined_data WHERE text_input IS NOT NULL),
+g AS (SELECT rec_id, CASE WHEN len(t) >= 16 THEN list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i+7], ' ')) ELSE [] END AS g FROM t)
+SELECT rec_id, len(g)::BIGINT AS grams, len(list_distinct(g))::BIGINT AS kinds, coalesce(round((len(g) - len(list_distinct(g))) / nullif(len(g), 0), 6), 0.0) AS share, coalesce((len(g) - len(list_distinct(g))) / nullif(len(g), 0), 0.0) <= 0.06 AS ok FROM g""")
+def repetition_gate(spark, d):
+    return gates.repetition(_texts(spark, d), "rec_id", "text_input")
+
+
+def _texts(spark, d):
+    return spread(table(spark, d, "combined_data").select("rec_id", "text_input"))
+
+
+_KINDS = ", ".join("len(" + (f"list_filter(regexp_extract_all(text_input, '{p}'), lambda x: regexp_matches(x, '{gates.COUNTS[k]}'))" if k in gates.COUNTS else f"regexp_extract_all(text_input, '{p}')") + f") AS {k}" for k, p in gates.PLACEHOLDERS.items())
+_SOME = " + ".join(f"({k} > 0)::BIGINT" for k in gates.PLACEHOLDERS)
+
+
+@query(f"WITH k AS (SELECT rec_id, {_KINDS} FROM combined_data WHERE text_input IS NOT NULL) SELECT rec_id, {_SOME} AS hits, {_SOME} = 0 AS ok FROM k")
 def placeholder_gate(spark, d):
-    return gates.placeholders(table(spark, d, "combined_data"), "rec_id", "text_input")
+    return gates.placeholders(_texts(spark, d), "rec_id", "text_input")
+
+
+@query(f"WITH k AS (SELECT rec_id, {_KINDS} FROM combined_data WHERE text_input IS NOT NULL), u AS (UNPIVOT k ON {', '.join(gates.PLACEHOLDERS)} INTO NAME kind VALUE n) SELECT rec_id, kind, n FROM u WHERE n > 0")
+def placeholder_kinds(spark, d):
+    return gates.placeholder_kinds(_texts(spark, d), "rec_id", "text_input")
+
+
+@query(
+    """WITH e AS (SELECT rec_id, coalesce(text_input, '') AS t, list_distinct(list_filter(flatten(list_transform(map_values(output), lambda v: coalesce(v, []))), lambda s: s IS NOT NULL AND s <> '')) AS s FROM combined_data WHERE output IS NOT NULL)
+SELECT rec_id, len(s)::BIGINT AS planned, len(list_filter(s, lambda x: NOT contains(t, x)))::BIGINT AS missing, len(list_filter(s, lambda x: NOT contains(t, x))) = 0 AS ok FROM e"""
+)
+def verbatim_gate(spark, d):
+    return gates.verbatim(spread(table(spark, d, "combined_data").select("rec_id", "text_input", "output")), "rec_id", "text_input", "output")
+
+
+@query(
+    rf"""WITH e AS (SELECT unnest(map_entries(output)) AS e FROM processed), n AS (SELECT DISTINCT name FROM (SELECT unnest(e.value) AS name FROM e WHERE e.key = 'PERSON') WHERE name IS NOT NULL),
+r AS (SELECT rec_id, string_split_regex(unnest(regexp_extract_all(text_input, '{gates.NAME_RUN.replace("'", "''")}', 1)), '[ 	]+') AS w FROM combined_data),
+i AS (SELECT rec_id, w, unnest(range(1, len(w))) AS i FROM r), c AS (SELECT rec_id, w, i, unnest(range(i + 1, least(i + 4, len(w)) + 1)) AS j FROM i)
+SELECT DISTINCT rec_id, array_to_string(w[i:j], ' ') AS name FROM c WHERE array_to_string(w[i:j], ' ') IN (SELECT name FROM n)"""
+)
+def name_collision_gate(spark, d):
+    """Names of the labelled training records that stand in the corpus's texts."""
+    names = table(spark, d, "processed").select(F.explode(F.try_element_at("output", F.lit("PERSON"))).alias("name"))
+    return gates.name_collisions(_texts(spark, d), "rec_id", "text_input", names, "name")
+
+
+@query(
+    """WITH e AS (SELECT rec_id, unnest(map_entries(output)) AS e FROM combined_data), s AS (SELECT DISTINCT rec_id, unnest(e.value) AS span FROM e WHERE e.key = 'GOV_ID'),
+d AS (SELECT rec_id, span, list_transform(string_split(regexp_replace(span, '[^0-9]', '', 'g'), ''), lambda c: c::INT) AS x FROM s WHERE length(regexp_replace(span, '[^0-9]', '', 'g')) = 11)
+SELECT rec_id, span, true AS declared, false AS actual FROM d
+WHERE NOT ((3*x[1]+7*x[2]+6*x[3]+x[4]+8*x[5]+9*x[6]+4*x[7]+5*x[8]+2*x[9]+x[10]) % 11 = 0 AND (5*x[1]+4*x[2]+3*x[3]+2*x[4]+7*x[5]+6*x[6]+5*x[7]+4*x[8]+3*x[9]+2*x[10]+x[11]) % 11 = 0)"""
+)
+def checksum_gate(spark, d):
+    """Eleven-digit spans labelled as identity numbers whose check digits say otherwise."""
+    x = table(spark, d, "combined_data").select("rec_id", F.explode(F.try_element_at("output", F.lit("GOV_ID"))).alias("span"))
+    x = x.where(F.length(I.digits(F.col("span"))) == 11).withColumn("declared", F.lit(True))
+    return gates.checksums(x, "rec_id", "span", "declared", I.is_national_id(I.digits(F.col("span"))))
 
 
 @query("SELECT rec_id, length(text_input)::BIGINT AS n_chars, length(text_input) <= 7000 AS ok FROM combined_data WHERE text_input IS NOT NULL")
@@ -103,7 +154,7 @@ UNION ALL SELECT rec_id, 'case_number', unnest(regexp_extract_all(text_input, '2
 UNION ALL SELECT rec_id, 'account', unnest(regexp_extract_all(text_input, '[0-9]{4}\.[0-9]{2}\.[0-9]{5}')) FROM combined_data)
 SELECT rec_id, pattern, m AS match, count(*) AS n FROM r GROUP BY ALL""")
 def pattern_sweep(spark, d):
-    return gates.sweep(table(spark, d, "combined_data"), "rec_id", "text_input")
+    return gates.sweep(_texts(spark, d), "rec_id", "text_input")
 
 
 @query()

@@ -20,6 +20,21 @@ def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return read.where("text_input is not null").drop("value"), read.where("text_input is null").select("file", "value")
 
 
+def read_strict(spark: SparkSession, paths: list[str], known: list[str]) -> DataFrame:
+    """Labelled records (id, text_input, output, types) of JSON lines in the order of their files; types without spans are dropped.
+
+    A line that is no object with an id and a text, or a label type that is not ``known``, raises: training data is not guessed.
+    """
+    lines = spark.read.text(paths).where(F.trim("value") != "").withColumn("file", F.col("_metadata.file_path")).withColumn("v", F.try_parse_json("value"))
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    t = lines.select("file", "value", get("$.id", "string").alias("id"), get("$.text_input", "string").alias("text_input"), get("$.output", "map<string,array<string>>").alias("output"), get("$.types", "array<string>").alias("types"))
+    if bad := t.where("id is null or text_input is null or output is null").select("file", F.substring("value", 1, 80)).limit(3).collect():
+        raise ValueError(f"no labelled records: {bad}")
+    if odd := t.select("id", F.explode(F.map_keys("output")).alias("etype")).where(~F.col("etype").isin(known)).limit(3).collect():
+        raise ValueError(f"unknown label types: {odd}")
+    return t.orderBy("file").select("id", "text_input", F.map_filter("output", lambda _, v: F.size(v) > 0).alias("output"), "types")
+
+
 def read_keyed(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """One record for each key: the last in order of file name and place."""
     t = spark.read.schema(schema).json(path).withColumns({"_f": F.col("_metadata.file_path"), "_n": F.monotonically_increasing_id()})

@@ -1,16 +1,20 @@
 """Operators against brute force and on nulls, empty tables, ties and clashing columns."""
 
+import hashlib
 import random
+import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom.functions import context
 from corpusloom.functions import identifiers as I
 from corpusloom.functions import labels as L
 from corpusloom.functions import prompts
 from corpusloom.functions import text as T
-from corpusloom.operators import dedup, gates, intervals, leakage, scoring, sweeps, taxonomy, validation
+from corpusloom.operators import dedup, gates, intervals, leakage, sampling, scoring, similarity, sweeps, taxonomy, validation
 from corpusloom.operators.components import connected_components
 from corpusloom.sources import jsonl
 
@@ -159,8 +163,48 @@ def test_splits_and_quotas(spark):
 
 
 def test_taxonomy_prompts_and_gates(spark):
-    df = spark.createDataFrame([("GOV_ID", "01028012345"), ("FAMILY_RELATION", "er gift"), ("EMPLOYMENT_INFO", "Moe Fisk AS"), ("NONE", "x"), ("PERSON", None)], "t string, s string")
-    assert [r[0] for r in df.select(taxonomy.convert(F.col("t"), F.col("s"))).collect()] == ["UNRESOLVED", "MARITAL_STATUS", "ORGANIZATION", None, "PERSON"]
+    cases = [
+        ("GOV_ID", "AB 12", None, "UNRESOLVED"),
+        ("GOV_ID", "01028012345", "", "NATIONAL_ID"),
+        ("GOV_ID", "01028012345", "Fnr. stod i Førerkort nr. 01028012345", "DRIVER_LICENSE"),
+        ("GOV_ID", "987654", "Org.nr: 987654321 (lisensnummer 987654)", "FIREARMS_LICENSE"),
+        ("GOV_ID", "AB-1", "fartøyet med registreringsnummer AB-1", "VESSEL_REGISTRATION"),
+        ("GOV_ID", "Oslo tingrett 2021", "Fnr. Oslo tingrett 2021", "CASE_NUMBER"),
+        ("FAMILY_RELATION", "er gift", "", "MARITAL_STATUS"),
+        ("FAMILY_RELATION", "giftig", "", "FAMILY_RELATION"),
+        ("FAMILY_RELATION", "gift med far", "", "FAMILY_RELATION"),
+        ("EMPLOYMENT_INFO", "Moe Fisk AS", "", "ORGANIZATION"),
+        ("EMPLOYMENT_INFO", "daglig leder i Moe Fisk AS", "", "EMPLOYMENT"),
+        ("HEALTH_INFO", "blind hund", "", "HEALTH"),
+        ("HEALTH_INFO", "er blind", "", "DISABILITY"),
+        ("HEALTH_INFO", "insulin mot diabetes", "", "HEALTH"),
+        ("HEALTH_INFO", "tabletter", "", "MEDICATION"),
+        ("FINANCIAL_INFO", "1234.56.78903", "", "BANK_ACCOUNT"),
+        ("FINANCIAL_INFO", "NO93 8601 1117 947", "", "IBAN"),
+        ("FINANCIAL_INFO", "12 345 678 9", "lånenummer 12 345 678 9", "BANK_ACCOUNT"),
+        ("FINANCIAL_INFO", "skylder 5000 kroner", "", "FINANCIAL"),
+        ("DATE_TIME", "12.03.1980", "født den 12.03.1980", "DATE_OF_BIRTH"),
+        ("DATE_TIME", "12.03.2020", "møtet den 12.03.2020", "DATE_TIME"),
+        ("DATE_TIME", "43 år gammel", "", "AGE"),
+        ("NONE", "x", "", "UNRESOLVED"),
+        ("PERSON", None, "", "PERSON"),
+    ]
+    df = spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(cases)], "k int, etype string, span string, text string")
+    got = {r["k"]: r["new_type"] for r in taxonomy.convert(df).collect()}
+    assert [(c, got[k]) for k, c in enumerate(cases) if got[k] != c[3]] == []
+    labels = spark.createDataFrame([("1", "A", "x"), ("1", "A", "y"), ("2", "B", "z")], "id string, type string, span string")
+    texts = spark.createDataFrame([("1", "x y w"), ("2", "z")], "id string, text string")
+    edit = lambda *rows: spark.createDataFrame(list(rows), "id string, type string, old string, new string")
+    fixed = taxonomy.correct(labels, edit(("1", "A", "x", "w"), ("2", "B", "z", None)), texts)
+    assert sorted(map(tuple, fixed.collect())) == [("1", "A", "w"), ("1", "A", "y")]
+    for bad in (("1", "A", "q", None), ("1", "A", "x", "not there")):
+        with pytest.raises(ValueError):
+            taxonomy.correct(labels, edit(bad), texts)
+    moved = taxonomy.migrate(spark.createDataFrame([("1", "NONE", "x", "a x"), ("1", "PERSON", "Kari", "Kari"), ("1", "PERSON", "", ""), ("2", "NONE", "y", None)], "id string, etype string, span string, text string"), spark.createDataFrame([("1", "NONE", "x", "AGE")], "id string, etype string, span string, new_type string"))
+    assert sorted(map(tuple, taxonomy.migrated(moved).collect())) == [("1", "AGE", "x"), ("1", "PERSON", "Kari")]
+    assert [tuple(r) for r in taxonomy.parked(moved).collect()] == [("2", "NONE", "y", "")]
+    with pytest.raises(ValueError):
+        taxonomy.add_layer(labels, labels.withColumn("type", F.lit("Q")), ["id", "type", "span"], ["A", "B"])
     replies = spark.createDataFrame([('<think>x {"A":["n"]}</think> ok {"A":["y","z"],"B":"w","C":3,"D":{"q":1}} end',), ("nothing",), (None,)], "r string")
     got = [r[0] for r in replies.select(prompts.parse_output(F.col("r"))).collect()]
     assert got[0] == {"A": ["y", "z"], "B": ["w"], "C": ["3"], "D": []} and got[1:] == [None, None]
@@ -247,3 +291,103 @@ def test_number_cues_of_near_numbers(spark, tmp_path):
     spark.createDataFrame(rows, "rec_id long, text_input string").write.parquet(f"{tmp_path}/combined_data.parquet")
     got = {tuple(r) for r in text_queries.number_cues(spark, str(tmp_path)).collect()}
     assert got == {(1, "12345678901", "fnr"), (1, "10987654321", "kontonummer"), (2, "10987654321", None), (2, "12345678901", "fnr")}
+
+
+def test_context_before_a_span(spark):
+    rows = [("ab12 og (12)", "12", "ab12 og ("), ("xx12", "12", "xx"), ("12", "12", ""), ("tekst", "12", ""), ("a.b a.b", "a.b", ""), ("æ\\\\E x", "x", "æ\\\\E ")]
+    df = spark.createDataFrame([r[:2] for r in rows], "t string, s string")
+    assert [r[0] for r in df.select(context.before(F.col("t"), F.col("s"), 20)).collect()] == [r[2] for r in rows]
+    assert df.select(context.before(F.col("t"), F.col("s"), 2)).first()[0] == " ("
+
+
+def test_similar_pairs_and_greedy_keeping(spark):
+    rng = random.Random(12)
+    texts = []
+    for k in range(30):
+        w = [f"w{rng.randrange(400)}" for _ in range(60)]
+        for j in range(rng.randrange(1, 5)):
+            v = list(w)
+            for _ in range(j):
+                v[rng.randrange(60)] = f"x{rng.randrange(50)}"
+            texts.append(" ".join(v))
+    texts += [texts[0], texts[0], "kort", "", None]
+    rng.shuffle(texts)
+
+    def seqs(t):
+        w = re.findall(r"\w+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [seqs(t) for t in texts]
+    like = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("s", F.lit(1))
+    first = {}
+    for k, x in enumerate(sets):
+        if x:
+            first.setdefault(frozenset(x), k)
+    reps = sorted(first.values())
+    want = {(a, b) for a in reps for b in reps if a < b and like(sets[a], sets[b]) >= 0.7} | {(first[frozenset(x)], k) for k, x in enumerate(sets) if x and first[frozenset(x)] != k}
+    assert {(r["a"], r["b"]) for r in similarity.similar_pairs(df, "id", "t", 0.7).collect()} == want and len(want) > 20
+    kept = []
+    for k, x in enumerate(sets):
+        if not any(like(x, sets[j]) >= 0.7 for j in kept):
+            kept.append(k)
+    assert sorted(r["id"] for r in similarity.keep_first(df, "id", "t", 0.7).where("kept").collect()) == kept
+    assert similarity.keep_first(df.limit(0), "id", "t").count() == 0
+
+
+def test_three_pass_sample(spark):
+    rng = random.Random(13)
+    rows = []
+    for k in range(400):
+        labels = {t: ["x"] for t, p in (("A", 0.9), ("B", 0.3), ("C", 0.02)) if rng.random() < p}
+        rows.append((k, labels if rng.random() < 0.97 else None, rng.random() < 0.1, rng.choice(["talk", "talk", "talk", "file", None])))
+    df = spark.createDataFrame(rows, "id long, m map<string,array<string>>, hard boolean, tpl string")
+    got = sampling.three_pass(df, "id", "m", "hard", "tpl", ["A", "B", "C"], 40, 5, 0.25, "s").collect()
+    assert len(got) == len({r["id"] for r in got}) == 40
+    of = dict((r[0], r) for r in rows)
+    n_c = sum("C" in (r[1] or {}) for r in rows)
+    assert sum("C" in (of[r["id"]][1] or {}) for r in got) >= min(5, n_c) and sum(r["hard"] for r in got) >= 10
+    place = sorted(range(400), key=lambda k: hashlib.sha256(f"s|{k}".encode()).hexdigest())
+    first_c = [k for k in place if "C" in (of[k][1] or {})][: min(5, n_c)]
+    assert set(first_c) <= {r["id"] for r in got}
+    assert sampling.three_pass(df.limit(0), "id", "m", "hard", "tpl", ["A"], 5, 1, 0.2, "s").count() == 0
+
+
+def test_source_split_and_strict_records(spark, tmp_path):
+    df = spark.createDataFrame([(1, "corpus", "a"), (2, "D1", "a"), (3, "corpus", "b"), (4, None, "c"), (5, "corpus", None)], "id long, source string, t string")
+    out = sampling.split_by_source(df, "t", F.col("source") != "corpus", 0, "x")
+    assert {r["id"]: r["part"] for r in sampling.assert_no_leak(out, "t").collect()} == {1: "test", 2: "test", 3: "train", 4: "train", 5: "train"}
+    with pytest.raises(ValueError):
+        sampling.assert_no_leak(out.withColumn("part", F.col("id").cast("string")), "t")
+    good = tmp_path / "a.jsonl"
+    good.write_text('{"id": "1", "text_input": "x", "output": {"A": ["x"], "B": []}, "types": ["A"]}\n\n', encoding="utf-8")
+    got = jsonl.read_strict(spark, [str(good)], ["A", "B"]).collect()
+    assert [(r["id"], r["output"], r["types"]) for r in got] == [("1", {"A": ["x"]}, ["A"])]
+    for name, line in (("b", '{"id": "1", "text_input": "x", "output": {"Q": ["x"]}}'), ("c", '{"id": "1", "output"')):
+        (tmp_path / f"{name}.jsonl").write_text(line + "\n", encoding="utf-8")
+        with pytest.raises(ValueError):
+            jsonl.read_strict(spark, [str(tmp_path / f"{name}.jsonl")], ["A", "B"])
+
+
+def test_phrases_and_crossing(spark):
+    rows = [(1, "train", "Dømt for tyveri i fjor, og mer"), (2, "test", "dømt for tyveri"), (3, "test", "ingen ting her"), (4, "train", None), (5, "test", "Mistet jobben i fjor")]
+    bank = [("dømt for tyveri", "benchmark"), ("mistet jobben i fjor", "train"), ("mistet jobben", "benchmark"), ("kort", "train"), ("finnes ikke i noen", "train")]
+    df = spark.createDataFrame(rows, "id long, split string, t string")
+    got = {(r["kind"], r["item"], r["documents"]) for r in leakage.crossing(df, "id", "t", F.col("split") == "train", bank).collect()}
+    assert got == {("shared_text", "dømt for tyveri", 2), ("benchmark_in_train", "dømt for tyveri", 1), ("train_in_benchmark", "mistet jobben i fjor", 1)}
+    assert leakage.crossing(df, "id", "t", F.col("split") == "train", []).count() == 0
+
+
+def test_gates_of_planned_values(spark):
+    t = ["[Navn saksbehandler] og <dato>", "se [1] og [lenke](http://x)", "sak XXX og NN.", "bil NN 12345 (sett inn dato)", "N.N. har 12345xxx", None, "", "{NAVN}"]
+    df = spark.createDataFrame(list(enumerate(t)), "id long, t string")
+    got = {(r["id"], r["kind"]): r["n"] for r in gates.placeholder_kinds(df, "id", "t").collect()}
+    assert got == {(0, "square"): 1, (0, "angle"): 1, (2, "word"): 1, (2, "nn"): 1, (3, "fill"): 1, (4, "initials"): 1, (4, "word"): 1, (7, "brace"): 1}
+    assert {r["id"]: r["ok"] for r in gates.placeholders(df, "id", "t").collect()} == {0: False, 1: True, 2: False, 3: False, 4: False, 6: True, 7: False}
+    v = spark.createDataFrame([(1, "a b", {"A": ["a", "c", None, ""]}), (2, None, {"A": None}), (3, "x", None)], "id long, t string, m map<string,array<string>>")
+    assert {tuple(r) for r in gates.verbatim(v, "id", "t", "m").collect()} == {(1, 2, 1, False), (2, 0, 0, True)}
+    names = spark.createDataFrame([("Jonas Gahr Støre",), ("Kari Moe",), (None,)], "n string")
+    c = spark.createDataFrame([(1, "Da kom Jonas Gahr Støre Hansen og Kari Moe-Dahl, kari Moe"), (2, None)], "id long, t string")
+    assert {r["name"] for r in gates.name_collisions(c, "id", "t", names, "n").collect()} == {"Jonas Gahr Støre"}
+    r = {x["id"]: x for x in gates.repetition(spark.createDataFrame([(1, "a b c d e f g h " * 4), (2, "kort"), (3, None)], "id long, t string"), "id", "t").collect()}
+    assert r[1]["share"] == round((25 - 8) / 25, 6) and not r[1]["ok"] and r[2]["ok"] and 3 not in r
