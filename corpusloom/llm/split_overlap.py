@@ -32,6 +32,8 @@ WINDOW = 5
 SHARD_WORDS = 300_000
 #: Training words searched at once in a shard; a shard with more is read by several tasks.
 HOLD_WORDS = 1_500_000
+#: A text and a shard are to meet on one window and another for each so many of the text's.
+MEETINGS = 20
 #: Windows of one part of the exchange that tells how many evaluation texts have a window.
 PART_WINDOWS = 1_000_000
 
@@ -305,7 +307,8 @@ def _meet(threshold: float):
     """Texts (words not null) and the windows on which they can meet a partner (key not null).
 
     A training text of which too few windows stand in any evaluation text has no partner and is left out. Windows are
-    ordered by their level, rare first; of two texts of enough likeness each has one of the other's first ones.
+    ordered by their level, rare first. Of the first n - need + k windows of each of two texts of enough likeness k are
+    the same; k grows with the text, so that a chance meeting is not enough.
     """
 
     def run(slices: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
@@ -316,8 +319,9 @@ def _meet(threshold: float):
             _, at = np.unique(seq, return_inverse=True)
             byte = np.frombuffer(b"".join(said.sort_values("part")["said"]), np.uint8)[at]
             level, both = byte & np.uint8(127), byte > 128
-            first = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            mine = np.ones(len(n), bool) if row["ev"] else np.bincount(doc[level > 0], minlength=len(n)) > n - first
+            need = np.ceil(threshold * n - 1e-9).astype(np.int64)
+            first = n - need + 1 + n // MEETINGS
+            mine = np.ones(len(n), bool) if row["ev"] else np.bincount(doc[level > 0], minlength=len(n)) >= need
             order = np.lexsort((seq, level, doc))
             place = np.arange(len(seq)) - np.repeat(np.cumsum(n) - n, n)
             keep = order[(place < np.repeat(first, n)) & mine[doc] & both[order]]
@@ -380,8 +384,9 @@ def overlapping_classes(df: DataFrame, id_col: str, text_col: str, split_col: st
     shard = (band.cast("long") * 1_000_000 + F.pmod(F.xxhash64("cls"), parts[band])).alias("shard")
     index = ev.where("words is not null").select(shard, "cls", "n", "words").groupBy("shard").applyInPandas(_index_shard, "shard long, index binary")
     of_shards = ev.where("key is not null").select("key", band.alias("b"), shard).distinct()
-    meet = tr.where("key is not null").select("key", "cls", band.alias("band")).join(of_shards, "key").where(F.abs(F.col("band") - F.col("b")) <= 1)
-    sent = staged(meet.select("cls", "shard").distinct().join(tr.where("words is not null").select("cls", "words"), "cls"), "sent")
+    meet = tr.where("key is not null").select("key", "cls", "n", band.alias("band")).join(of_shards, "key").where(F.abs(F.col("band") - F.col("b")) <= 1)
+    met_often = meet.groupBy("cls", "shard").agg(F.count("*").alias("k"), F.max("n").alias("n")).where(F.col("k") > F.floor(F.floor(F.col("n") * threshold) / MEETINGS))
+    sent = staged(met_often.select("cls", "shard").join(tr.where("words is not null").select("cls", "words"), "cls"), "sent")
     load = sent.groupBy("shard").agg(F.ceil(F.sum(F.length("words") / 4) / HOLD_WORDS).alias("k"))
     sent = sent.join(load, "shard").select("shard", F.pmod(F.xxhash64("cls"), F.col("k")).alias("part"), "cls", "words")
     at = index.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("part"), "index")
