@@ -74,9 +74,11 @@ def checksums(found: DataFrame, id_col: str, span_col: str, declared_col: str, a
     return x.where(F.col("declared") != F.col("actual"))
 
 
-def repetition(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.06, n: int = 8) -> DataFrame:
-    """(id, grams, kinds, share, ok): repeated share of n-chunk sequences; texts of fewer than 2n chunks have none and pass."""
+def repetition(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.06, n: int = 8, short: bool = True) -> DataFrame:
+    """(id, grams, kinds, share, ok): repeated share of n-chunk sequences; texts of fewer than 2n chunks have none and pass, or are left out
+    without ``short`` (a later filter on ``grams`` would split a text anew for each of its sequences)."""
     x = df.where(F.col(text_col).isNotNull()).select(id_col, T.chunks(F.col(text_col)).alias("t"))
+    x = x if short else x.where(F.size("t") >= 2 * n)
     g = F.when(F.size("t") >= 2 * n, F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.xxhash64(F.slice("t", i, n)))).otherwise(F.array().cast("array<bigint>"))
     x = x.select(id_col, g.alias("g")).select(id_col, F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("kinds"))
     share = F.coalesce(F.try_divide(F.col("grams") - F.col("kinds"), F.col("grams")), F.lit(0.0))

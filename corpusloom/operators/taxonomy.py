@@ -161,8 +161,12 @@ def relabel_counts(moved: DataFrame) -> DataFrame:
 
 
 def parked(moved: DataFrame) -> DataFrame:
-    """(id, etype, span, context): spans that no rule placed, with the text before them, for a decision later."""
-    x = moved.where(F.col("new_type") == UNRESOLVED)
+    """(id, etype, span, context): spans that no rule placed, with the text before them, for a decision later.
+
+    Only identifiers and unknown types can be among them (no override says UNRESOLVED), so no other label's rule is run.
+    """
+    open_types = (F.col("etype") == "GOV_ID") | ~F.col("etype").isin([*RENAME, *SPLIT])
+    x = moved.where(open_types).where(F.col("new_type") == UNRESOLVED)
     return x.select("id", "etype", "span", before(F.coalesce("text", F.lit("")), F.col("span"), WIDTHS["parked"]).alias("context"))
 
 

@@ -146,6 +146,6 @@ SELECT DISTINCT rec_id, hit FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.rec
 def uncovered_emails(spark, d):
     """E-mail addresses that no span covers."""
     pattern = F.lit(r"([A-Za-z0-9._+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+)")
-    x = table(spark, d, "combined_data").select("rec_id", F.explode(F.array_distinct(F.regexp_extract_all("text_input", pattern, F.lit(1)))).alias("hit"), F.coalesce(F.flatten(F.filter(F.map_values("output"), lambda v: v.isNotNull())), F.array().cast("array<string>")).alias("spans"))
+    x = spread(table(spark, d, "combined_data").select("rec_id", "text_input", "output")).where(F.contains("text_input", F.lit("@"))).select("rec_id", F.explode(F.array_distinct(F.regexp_extract_all("text_input", pattern, F.lit(1)))).alias("hit"), F.coalesce(F.flatten(F.filter(F.map_values("output"), lambda v: v.isNotNull())), F.array().cast("array<string>")).alias("spans"))
     covered = F.exists(F.filter("spans", lambda s: s.isNotNull()), lambda s: F.contains(s, F.col("hit")) | ((s != "") & F.contains(F.col("hit"), s)))
     return x.where(~covered).select("rec_id", "hit").distinct()

@@ -75,7 +75,7 @@ def migrate_with_overrides(spark, d):
     """The converted corpus, where overrides file the unplaced spans that are a pool name under PERSON."""
     x = _moved(spark, d)
     names = table(spark, d, "name_pool").where("name is not null").select(F.col("name").alias("span")).distinct()
-    overrides = x.where(F.col("new_type") == X.UNRESOLVED).join(names, "span").select("id", "etype", "span", F.lit("PERSON").alias("new_type"))
+    overrides = X.parked(x).join(names, "span").select("id", "etype", "span", F.lit("PERSON").alias("new_type"))
     return X.migrated(_moved(spark, d, overrides)).withColumnRenamed("id", "rec_id")
 
 

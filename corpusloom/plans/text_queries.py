@@ -47,7 +47,7 @@ g AS (SELECT rec_id, unnest(list_transform(range(1, len(t) - 6), lambda i: array
 SELECT rec_id, count(*) AS grams, count(DISTINCT g) AS kinds, round((count(*) - count(DISTINCT g)) / count(*), 6) AS share FROM g GROUP BY rec_id""")
 def ngram_repetition(spark, d):
     """Repeated share of eight-chunk sequences of texts of at least sixteen chunks."""
-    return gates.repetition(_texts(spark, d), "rec_id", "text_input").where("grams > 0").drop("ok")
+    return gates.repetition(_texts(spark, d), "rec_id", "text_input", short=False).drop("ok")
 
 
 @query(r"""WITH t AS (SELECT rec_id, list_filter(string_split_regex(text_input, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS t FROM combined_data WHERE text_input IS NOT NULL),
