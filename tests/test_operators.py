@@ -14,7 +14,7 @@ from corpusloom.functions import identifiers as I
 from corpusloom.functions import labels as L
 from corpusloom.functions import prompts
 from corpusloom.functions import text as T
-from corpusloom.operators import dedup, gates, intervals, leakage, sampling, scoring, similarity, sweeps, taxonomy, validation
+from corpusloom.operators import dedup, edits, gates, intervals, leakage, sampling, scoring, similarity, sweeps, taxonomy, validation
 from corpusloom.operators.components import connected_components
 from corpusloom.sources import jsonl
 
@@ -391,3 +391,44 @@ def test_gates_of_planned_values(spark):
     assert {r["name"] for r in gates.name_collisions(c, "id", "t", names, "n").collect()} == {"Jonas Gahr Støre"}
     r = {x["id"]: x for x in gates.repetition(spark.createDataFrame([(1, "a b c d e f g h " * 4), (2, "kort"), (3, None)], "id long, t string"), "id", "t").collect()}
     assert r[1]["share"] == round((25 - 8) / 25, 6) and not r[1]["ok"] and r[2]["ok"] and 3 not in r
+
+
+def test_absorbed_and_nested_spans(spark):
+    rows = [
+        (1, "to barn på 15 og 12 år. Fredrikstad Sjømat AS", {"AGE": ["12 år", "15"], "FAMILY_RELATION": ["to barn på 15 og 12 år"], "LOCATION": ["Fredrikstad"], "ORGANIZATION": ["Fredrikstad Sjømat AS"]}),
+        (2, "12 år og et barn på 12 år i Moss", {"AGE": ["12 år"], "FAMILY_RELATION": ["barn på 12 år"], "LOCATION": ["Moss", None], "ORGANIZATION": None}),
+        (3, None, {"AGE": ["1"]}),
+        (4, "x", None),
+    ]
+    df = spark.createDataFrame(rows, "id long, t string, m map<string,array<string>>")
+    got = {tuple(r) for r in edits.absorbed_spans(df, "id", "t", "m").collect()}
+    assert got == {(1, "AGE", "12 år"), (1, "AGE", "15"), (1, "LOCATION", "Fredrikstad")}
+    nested = spark.createDataFrame([(1, "abc bcd", {"A": ["bc", "abc", "bcd", "b"]}), (2, "aab a", {"A": ["a", "aa"]}), (3, "aaa", {"A": ["a", "aa"]})], "id long, t string, m map<string,array<string>>")
+    assert {(r["id"], r["span"]) for r in edits.redundant_nested(nested, "id", "t", "m").collect()} == {(1, "bc"), (1, "b"), (3, "a")}
+    assert edits.redundant_nested(nested.limit(0), "id", "t", "m").count() == 0
+
+
+def test_edits_and_sections(spark):
+    c = spark.createDataFrame([("POSTAL_CODE", "5055 Bergen"), ("POSTAL_CODE", "00-123"), ("ADDRESS", "5055 Bergen"), ("ADDRESS", "Vei 5, 5055 Bergen"), ("X", "5055 Bergen"), ("X", None)], "e string, s string")
+    assert [r[0] for r in c.select(edits.conform(F.col("e"), F.col("s"))).collect()] == ["5055", None, None, "Vei 5, 5055 Bergen", "5055 Bergen", None]
+    k = spark.createDataFrame([("corpus",), ("SYN-1",), ("D1",), (None,)], "s string")
+    assert [r[0] for r in k.select(edits.source_kind(F.col("s"))).collect()] == ["corpus", "synthetic", "annotated", None]
+    iv = spark.createDataFrame([([(0, 5), (3, 9), (5, 6), (5, 8)],), ([],)], "x array<struct<start:bigint,end:bigint>>")
+    assert [[tuple(i) for i in r[0]] for r in iv.select(edits.first_of_overlapping(F.col("x"))).collect()] == [[(0, 5), (5, 8)], []]
+    u = spark.createDataFrame([(0, 6, [(1, 3), (5, 9)]), (2, 2, [])], "a int, b int, c array<struct<start:int,end:int>>")
+    assert [r[0] for r in u.select(edits.uncovered_characters(F.col("a"), F.col("b"), F.col("c"))).collect()] == [[0, 3, 4], []]
+    f = spark.createDataFrame([("Wiśniewski Łódź Åse Øyvind é",)], "s string")
+    assert f.select(edits.fold(F.col("s"))).first()[0] == "Wisniewski Lodz Ase Øyvind e"
+    ages = spark.createDataFrame([("2000-02-29", "2021-02-28"), ("2000-02-29", "2021-03-01"), ("2000-05-01", "2020-05-01")], "b string, d string")
+    assert [r[0] for r in ages.select(edits.age_on(F.col("b").cast("date"), F.col("d").cast("date"))).collect()] == [20, 21, 20]
+    s = spark.createDataFrame([("a b c d e F g", "x A B C D E f"), ("a b", "a b"), (None, "a")], "a string, b string")
+    assert [r["shared"] for r in edits.shares_run(s, "a", "b").collect()] == [True, False, False]
+    body = "en to tre fire fem seks sju åtte"
+    t = spark.createDataFrame([(1, f"{body} ni\n\n{body}\n\n\n{body} ti"), (2, "a\n\nb"), (3, None)], "id long, t string")
+    parts = edits.sections(t, "id", "t")
+    assert [tuple(r) for r in edits.repeated_section(parts, "id").collect()] == [(1, 1, 1)]
+    assert min(r["budget"] for r in edits.section_budgets(parts, "id", 10).collect()) == 150
+    p = edits.prefix_join(spark.createDataFrame([("Storgata 5",), ("Stor",), (None,)], "s string"), "s", spark.createDataFrame([("Stor",), ("Storgata",), ("",), (None,)], "p string"), "p")
+    assert sorted(map(tuple, p.select("s", "prefix").collect())) == [("Stor", "Stor"), ("Storgata 5", "Stor"), ("Storgata 5", "Storgata")]
+    b = edits.shortest_first(spark.createDataFrame([(k, k % 3) for k in range(7)] + [(9, None)], "id long, n int"), "id", "n", 2).collect()
+    assert [r["id"] for r in sorted(b, key=lambda r: (r["batch"], r["length"], r["id"]))] == [0, 3, 6, 1, 4, 2, 5]
