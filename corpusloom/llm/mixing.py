@@ -98,7 +98,7 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_co
     as no target. Without ``total_tokens`` the mix is the largest of which each source that has texts can reach its share;
     shares of sources without texts go to the others in proportion. Documents of null or untargeted sources and
     null or empty texts (no tokens) never occur. Equal texts are one text of all their sources, given by the smallest
-    doc_id. Each source is filled to within its last document.
+    doc_id. Each source is filled to within half of its last document.
     """
     wanted = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats")).collect()  # one row a target
     repeats = {r["source"]: int(r["max_repeats"]) for r in wanted}
@@ -137,8 +137,9 @@ def _select(texts: DataFrame, patterns: dict, flows: dict) -> DataFrame:
     placed = placed.withColumn("at", F.col("base") + F.col("inner"))
     # occurrence k of a text begins at k * tokens + at
     hit = placed.join(F.broadcast(plan), "pattern")  # a row for each pattern and source: at most targets * 2 ** targets
-    first = F.greatest(F.lit(0), F.ceil((F.col("low") - F.col("at")) / F.col("tokens")))
-    copies = F.greatest(F.lit(0), F.ceil((F.col("high") - F.col("at")) / F.col("tokens"))) - first
+    mid = F.col("at") + F.col("n_tokens") / 2  # an occurrence belongs to the part that holds its middle: quotas are met to the nearer side
+    first = F.greatest(F.lit(0), F.ceil((F.col("low") - mid) / F.col("tokens")))
+    copies = F.greatest(F.lit(0), F.ceil((F.col("high") - mid) / F.col("tokens"))) - first
     return hit.select("doc_id", "source", "n_tokens", copies.cast("long").alias("copies")).where("copies > 0")
 
 
