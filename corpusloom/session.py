@@ -49,15 +49,21 @@ def hash_sample(df: DataFrame, key: str, rows: int, total: int | None = None) ->
     return df.where(F.xxhash64(F.lit(17), key) < F.lit(int(-(2**63) + 2**64 * rows / n)).cast("long"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores: a table in one row group is otherwise one task's work."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if _partitions(df, n) < n else df
+#: Bytes a core up to which a table of fewer files than cores is spread: its row groups may be fewer than its splits.
+SMALL = 8 << 20
 
 
-def _partitions(df: DataFrame, enough: int) -> int:
-    """Partitions of a scan; a plan that shuffles counts as enough, as asking it would run its shuffles."""
-    return enough if _WIDE.search(df._jdf.queryExecution().optimizedPlan().toString()) else df.rdd.getNumPartitions()
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a table in one row group is otherwise one task's work.
+
+    A plan that shuffles is left as it is, as asking for its partitions would run its shuffles.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if _WIDE.search(plan.toString()):
+        return df
+    small = int(str(plan.stats().sizeInBytes())) <= n * SMALL and len(df.inputFiles()) < n
+    return df.repartition(n) if small or df.rdd.getNumPartitions() < n else df
 
 
 def shared_dir(spark: SparkSession) -> str:
