@@ -74,9 +74,9 @@ def p4_validation(spark, d):
 
 
 def p5_found(spark, d):
-    """Outliers by the robust distance, then the exact share."""
-    found = repetition.outliers(table(spark, d, "combined_data"), "rec_id", "text_input")
-    return found.where("outlier and share > 0.06").select(F.col("id").alias("rec_id"))
+    """The robust distance selects texts, and the exact share is counted in these only."""
+    found = repetition.repetitive(table(spark, d, "combined_data"), "rec_id", "text_input")
+    return found.select(F.col("id").alias("rec_id"))
 
 
 def p5_shares(spark, d):
